@@ -112,6 +112,15 @@ def lines(t: Tables) -> DataFrame:
 
 
 def chart_facts(t: Tables) -> DataFrame:
+    return t.stored("chart_facts", lambda: _chart_facts(t))
+
+
+def candidate_items(t: Tables) -> DataFrame:
+    """Candidate items with the wide record, coded as the chart is."""
+    return t.stored("candidate_items", lambda: _candidate_items(t))
+
+
+def _chart_facts(t: Tables) -> DataFrame:
     flat = t.sql(CHART)
     return flat.select(
         "patient_id", "entry_pos", "resource_type", "resource_id",
@@ -120,8 +129,7 @@ def chart_facts(t: Tables) -> DataFrame:
     )
 
 
-def candidate_items(t: Tables) -> DataFrame:
-    """Candidate items with the wide record, coded as the chart is."""
+def _candidate_items(t: Tables) -> DataFrame:
     flat = t.sql(CANDIDATES)
     first = coding(F.col("system0"), F.col("code0"), F.col("display0"))
     second = coding(F.col("system1"), F.col("code1"))

@@ -23,6 +23,17 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
     )
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Settings the deep plans of this package want; safe to call on any session.
+
+    Constraint propagation re-derives filters over every alias of every rule expression, which
+    grows out of hand on plans with many renamed, computed keys; the operators state the
+    filters they need themselves.
+    """
+    spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
+    return spark
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
 
