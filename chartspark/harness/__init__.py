@@ -6,7 +6,7 @@ import importlib
 
 from chartspark.harness.registry import QUERIES, Query
 
-MODULES = ("expressions", "merging")
+MODULES = ("expressions", "merging", "measuring")
 
 
 def load_queries() -> dict[str, Query]:
