@@ -165,7 +165,7 @@ ROWS = """
 SELECT r_regionkey AS run_id, concat('note-', o_custkey) AS note, CASE o_custkey % 4 WHEN 0 THEN 'clean' WHEN 1 THEN 'messy' WHEN 2 THEN 'trap' ELSE '' END AS tier,
        concat('f', o_orderkey) AS fact_id,
        CASE o_orderkey % 4 WHEN 0 THEN 'NEW' WHEN 1 THEN 'DUPLICATE' WHEN 2 THEN 'UPDATING' ELSE 'CONFLICTING' END AS expected,
-       CASE WHEN (o_orderkey * 3 + r_regionkey * 7) % 11 < 6 OR o_orderkey % 9 = 0 THEN
+       CASE WHEN ((o_orderkey * 3 + r_regionkey * 7) % 11 < 6 OR o_orderkey % 9 = 0) AND o_orderkey % 8 <> 5 THEN
               CASE o_orderkey % 4 WHEN 0 THEN 'NEW' WHEN 1 THEN 'DUPLICATE' WHEN 2 THEN 'UPDATING' ELSE 'CONFLICTING' END
             WHEN (o_orderkey + r_regionkey) % 3 = 0 THEN 'MISSING' ELSE CASE o_orderkey % 4 WHEN 1 THEN 'NEW' ELSE 'DUPLICATE' END END AS actual,
        o_orderkey % 2 AS two_systems, (o_orderkey + r_regionkey) % 4 <> 0 AS coded, (o_orderkey + r_regionkey) % 5 AS provenance_count
