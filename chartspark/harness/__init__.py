@@ -6,7 +6,7 @@ import importlib
 
 from chartspark.harness.registry import QUERIES, Query
 
-MODULES = ("expressions", "merging", "measuring", "reading")
+MODULES = ("expressions", "merging", "measuring", "reading", "coding")
 
 
 def load_queries() -> dict[str, Query]:
