@@ -6,7 +6,7 @@ import importlib
 
 from chartspark.harness.registry import QUERIES, Query
 
-MODULES = ("expressions", "merging", "measuring", "reading", "coding")
+MODULES = ("expressions", "merging", "measuring", "reading", "coding", "reviewing", "exchange")
 
 
 def load_queries() -> dict[str, Query]:

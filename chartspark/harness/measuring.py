@@ -140,7 +140,7 @@ def _(t):
         F.when(F.col("event_id") % 3 != 0, F.col("event_type")).otherwise("").alias("role"),
     )
     return ledger.clinician_activity(sessions).select(
-        "user_key", "seen_count", F.unix_millis("first_seen_at").alias("first_ms"), F.unix_millis("last_seen_at").alias("last_ms"), "role"
+        "user_key", "seen_count", F.unix_millis(F.col("first_seen_at").cast("timestamp")).alias("first_ms"), F.unix_millis(F.col("last_seen_at").cast("timestamp")).alias("last_ms"), "role"
     )
 
 

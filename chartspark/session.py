@@ -13,6 +13,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         SparkSession.builder.master(f"local[{cores}]")
         .appName("chartspark")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
@@ -28,8 +29,9 @@ def tune(spark: SparkSession) -> SparkSession:
 
     Constraint propagation re-derives filters over every alias of every rule expression, which
     grows out of hand on plans with many renamed, computed keys; the operators state the
-    filters they need themselves.
+    filters they need themselves.  Times are read as UTC.
     """
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     spark.conf.set("spark.sql.constraintPropagation.enabled", "false")
     return spark
 
