@@ -283,16 +283,16 @@ def _(t):
 
 @query(
     "usage_windows", "L2",
-    f"""WITH {PRICED} SELECT epoch_ms(time_bucket(INTERVAL 1 HOUR, finished_at))::BIGINT AS window_ms, stage, model, count(*) AS calls, sum(input_tokens)::BIGINT AS input_tokens, sum(cost)::BIGINT AS micro_usd FROM priced GROUP BY ALL""",
+    f"""WITH {PRICED} SELECT epoch_us(time_bucket(INTERVAL 1 HOUR, finished_at)) AS window_us, stage, model, count(*) AS calls, sum(input_tokens)::BIGINT AS input_tokens, sum(cost)::BIGINT AS micro_usd FROM priced GROUP BY ALL""",
 )
 def _(t):
     rows = jobs.usage_windows(_priced(t).withColumn("ts", F.col("finished_at")))
-    return rows.select(F.unix_millis(F.col("window_start").cast("timestamp")).alias("window_ms"), "stage", "model", "calls", "input_tokens", (F.col("usd_cost") * 1000000).cast("bigint").alias("micro_usd"))
+    return rows.select(F.unix_micros(F.col("window_start").cast("timestamp")).alias("window_us"), "stage", "model", "calls", "input_tokens", (F.col("usd_cost") * 1000000).cast("bigint").alias("micro_usd"))
 
 
 @query(
     "pair_runs", "L3",
-    """SELECT s.event_id AS run_id, coalesce(f.status, 'unfinished') AS status, (epoch_ms(f.ts) - epoch_ms(s.ts))::BIGINT AS duration_ms FROM {events} s LEFT JOIN (SELECT event_id - 1 AS run_id, ts, event_type AS status FROM {events} WHERE event_id % 3 = 1) f
+    """SELECT s.event_id AS run_id, coalesce(f.status, 'unfinished') AS status, (epoch_us(f.ts) - epoch_us(s.ts)) // 1000 AS duration_ms FROM {events} s LEFT JOIN (SELECT event_id - 1 AS run_id, ts, event_type AS status FROM {events} WHERE event_id % 3 = 1) f
         ON f.run_id = s.event_id AND f.ts >= s.ts AND f.ts <= s.ts + INTERVAL 5 MINUTE WHERE s.event_id % 3 = 0""",
 )
 def _(t):
@@ -305,11 +305,11 @@ def _(t):
     "run_sessions", "L5",
     """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 6 HOUR THEN 0 ELSE 1 END AS opened FROM {events}),
         s AS (SELECT *, sum(opened) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM g)
-        SELECT CAST(user_id AS STRING) AS user_key, epoch_ms(min(ts))::BIGINT AS start_ms, epoch_ms(max(ts))::BIGINT AS end_ms, count(*) AS n_events FROM s GROUP BY user_id, session""",
+        SELECT CAST(user_id AS STRING) AS user_key, epoch_us(min(ts)) AS start_us, epoch_us(max(ts)) AS end_us, count(*) AS n_events FROM s GROUP BY user_id, session""",
 )
 def _(t):
     rows = jobs.run_sessions(t.events.select(F.col("user_id").cast("string").alias("user_key"), "ts"), 360)
-    return rows.select("user_key", F.unix_millis("session_start").alias("start_ms"), F.unix_millis("session_end").alias("end_ms"), F.col("n_events").cast("bigint").alias("n_events"))
+    return rows.select("user_key", F.unix_micros(F.col("session_start").cast("timestamp")).alias("start_us"), F.unix_micros(F.col("session_end").cast("timestamp")).alias("end_us"), F.col("n_events").cast("bigint").alias("n_events"))
 
 
 @query("stream_notes_twin", "L1", "SELECT min(doc_id) AS document_id, length(text) AS size FROM {documents} WHERE length(trim(text)) > 0 GROUP BY text")

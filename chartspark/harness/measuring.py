@@ -61,7 +61,7 @@ def _(t):
 @query(
     "run_totals", "D9",
     f"""WITH {PRICED} SELECT run_id, sum(input_tokens)::BIGINT AS input_tokens, sum(output_tokens)::BIGINT AS output_tokens, sum(reasoning_tokens)::BIGINT AS reasoning_tokens,
-        sum(cost)::BIGINT AS micro_usd, (epoch_ms(max(finished_at)) - epoch_ms(min(finished_at)))::BIGINT AS duration_ms, count(DISTINCT document_id) AS doc_count FROM priced GROUP BY run_id""",
+        sum(cost)::BIGINT AS micro_usd, (epoch_us(max(finished_at)) - epoch_us(min(finished_at))) // 1000 AS duration_ms, count(DISTINCT document_id) AS doc_count FROM priced GROUP BY run_id""",
 )
 def _(t):
     totals = ledger.run_totals(_priced(t).withColumn("started_at", F.col("finished_at")))
@@ -131,7 +131,7 @@ def _(t):
 
 @query(
     "clinician_activity", "D29",
-    """SELECT CAST(user_id AS STRING) AS user_key, count(*) AS seen_count, epoch_ms(min(ts))::BIGINT AS first_ms, epoch_ms(max(ts))::BIGINT AS last_ms,
+    """SELECT CAST(user_id AS STRING) AS user_key, count(*) AS seen_count, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us,
         arg_max(event_type, (ts, event_id)) FILTER (event_id % 3 <> 0) AS role FROM {events} GROUP BY user_id""",
 )
 def _(t):
@@ -140,7 +140,7 @@ def _(t):
         F.when(F.col("event_id") % 3 != 0, F.col("event_type")).otherwise("").alias("role"),
     )
     return ledger.clinician_activity(sessions).select(
-        "user_key", "seen_count", F.unix_millis(F.col("first_seen_at").cast("timestamp")).alias("first_ms"), F.unix_millis(F.col("last_seen_at").cast("timestamp")).alias("last_ms"), "role"
+        "user_key", "seen_count", F.unix_micros(F.col("first_seen_at").cast("timestamp")).alias("first_us"), F.unix_micros(F.col("last_seen_at").cast("timestamp")).alias("last_us"), "role"
     )
 
 

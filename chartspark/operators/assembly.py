@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from chartspark.functions.fhir import display_label, view
 from chartspark.operators import builders
 
 MCODE = "mcode-"
+Stage = Callable[[DataFrame, str], DataFrame]
 
 
 def is_negated_assertion() -> Column:
@@ -153,8 +156,10 @@ def with_rules(rows: DataFrame, rules: DataFrame | None) -> DataFrame:
     return rows.join(rules.select("resource_type", *[F.col(c).cast(k).alias(c) for c, k in empty.items()]), "resource_type", "left")
 
 
-def assemble(scored: DataFrame, note_dates: DataFrame, encounters: DataFrame, rules: DataFrame | None = None) -> DataFrame:
-    """Proposals of the reviewable facts.
+def assemble(
+    scored: DataFrame, note_dates: DataFrame, encounters: DataFrame, rules: DataFrame | None = None, stage: Stage = lambda df, name: df
+) -> DataFrame:
+    """Proposals of the reviewable facts. ``stage`` fixes the outputs that several steps read.
 
     ``scored`` as from ``with_confidence`` plus ``encounter_key, merge_reasoning``;
     ``note_dates``: ``cand_id, note_date`` (first source note with a date);
@@ -162,14 +167,20 @@ def assemble(scored: DataFrame, note_dates: DataFrame, encounters: DataFrame, ru
     """
     from chartspark.operators.citations import with_encounter_ref
 
-    rows = with_rules(with_encounter_ref(reviewable(scored), encounters).join(note_dates, "cand_id", "left"), rules)
+    rows = stage(with_rules(with_encounter_ref(reviewable(scored), encounters).join(note_dates, "cand_id", "left"), rules), "reviewable")
     sites = cancer_sites(rows)
     surgery = surgery_by_cancer_site(rows, sites).withColumn("cancer_surgery", F.lit(True))
     rows = drop_leaked_site(rows, sites.where("of_primary")).join(surgery, "cand_id", "left")
     allowed = rows.where(code_allowed(primary_codings(), F.col("open_systems"), F.col("pinned"), F.col("fixed")))
     chosen = specialty_profile(F.col("candidate_profiles"), F.col("cancer_surgery"))
     extra = F.concat(F.coalesce("profiles", F.array().cast("array<string>")), F.array_compact(F.array(chosen)))
-    built = allowed.withColumn("resource", builders.with_extensions(builders.with_profiles(builders.resource_json(), extra), F.col("extensions")))
+    # One step per column: each builds on the finished text of the one before.
+    built = (
+        allowed.withColumn("extra_profiles", extra)
+        .withColumn("resource", builders.resource_json())
+        .withColumn("resource", builders.with_profiles(F.col("resource"), F.col("extra_profiles")))
+        .withColumn("resource", builders.with_extensions(F.col("resource"), F.col("extensions")))
+    )
     proposals = built.select(
         T.stable_id("prop", F.col("patient_id"), F.col("cand_id")).alias("id"),
         "patient_id", "cand_id", "cand_pos", "resource_type", "resource", "item", "classification",
@@ -178,7 +189,7 @@ def assemble(scored: DataFrame, note_dates: DataFrame, encounters: DataFrame, ru
         "merge_reasoning", "match_type", "match_key", "match_resource_id", "confidence_score", "confidence_tier", "flags", "confidence_breakdown",
         F.when(F.col("classification") == "UPDATING", F.array("match_resource_id")).otherwise(F.array().cast("array<string>")).alias("supersedes"),
     )
-    return link_conflicts(proposals)
+    return link_conflicts(stage(proposals, "proposals"))
 
 
 def medication_ingredient() -> Column:

@@ -38,7 +38,9 @@ def run_totals(calls: DataFrame) -> DataFrame:
         F.sum("output_tokens").alias("output_tokens"),
         F.sum("reasoning_tokens").alias("reasoning_tokens"),
         F.sum("usd_cost").alias("cost_usd"),
-        (F.unix_millis(F.max("finished_at").cast("timestamp")) - F.unix_millis(F.min("started_at").cast("timestamp"))).alias("duration_ms"),
+        F.floor(
+            (F.unix_micros(F.max("finished_at").cast("timestamp")) - F.unix_micros(F.min("started_at").cast("timestamp"))) / 1000
+        ).alias("duration_ms"),
         F.count_distinct("document_id").alias("doc_count"),
     )
 

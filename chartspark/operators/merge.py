@@ -345,11 +345,14 @@ def union_refs(refs: DataFrame) -> DataFrame:
 
 
 def merge_across_notes(
-    items: DataFrame, decisions: DataFrame | None = None, collapse_marker_families: bool = False
+    items: DataFrame, decisions: DataFrame | None = None, collapse_marker_families: bool = False, stage=lambda df, name: df
 ) -> tuple[DataFrame, DataFrame]:
-    """Whole merge step: exact merge, decisions where given, then the two collapses."""
-    keyed = with_merge_key(items)
-    groups = merge_groups(keyed)
+    """Whole merge step: exact merge, decisions where given, then the two collapses.
+
+    ``stage`` fixes the outputs that several steps read.
+    """
+    keyed = stage(with_merge_key(items), "keyed")
+    groups = stage(merge_groups(keyed), "groups")
     if decisions is None:
         merged = exact_merge(keyed, groups)
         refs = merge_refs(keyed, groups).withColumn("ref_pos", F.struct(F.lit(0).alias("id_pos"), F.col("ref_pos").alias("cand_pos")))
@@ -361,7 +364,7 @@ def merge_across_notes(
         refs = merge_refs(keyed, passing).withColumn(
             "ref_pos", F.struct(F.lit(0).alias("id_pos"), F.col("ref_pos").alias("cand_pos"))
         ).unionByName(decided_refs)
-    merged, refs = collapse_multifocal(merged, refs)
+    merged, refs = collapse_multifocal(stage(merged, "exact"), stage(refs, "exact_references"))
     if collapse_marker_families:
         merged, refs = collapse_markers(merged, refs)
     return merged, refs
