@@ -331,6 +331,16 @@ def backoff_variants(term: Column) -> Column:
     return F.when(norm == "", F.array().cast("array<string>")).otherwise(distinct)
 
 
+def query_variants(term: Column) -> Column:
+    """The term and its clean-ups, one rule each, then the spelled-out abbreviation; distinct without regard to case."""
+    plain = squeeze(F.coalesce(term, F.lit("")))
+    cleaned = [squeeze(F.regexp_replace(plain, pattern, to)) for pattern, to in V.VARIANT_STEPS]
+    table = F.create_map(*[F.lit(x) for pair in V.ABBREVIATIONS for x in pair])
+    spelled = F.array_join(F.transform(F.split(F.lower(plain), " "), lambda w: F.coalesce(table[w], w)), " ")
+    every = F.filter(F.array(plain, *cleaned, spelled), lambda v: v != "")
+    return F.filter(every, lambda v, i: ~F.array_contains(F.transform(F.slice(every, F.lit(1), i), F.lower), F.lower(v)))
+
+
 def bench_normal_display(text: Column) -> Column:
     """Comparison form of a display in retrieval metrics."""
     no_tag = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), V.SEMANTIC_TAGS, "")

@@ -359,6 +359,23 @@ def _(t):
     return t.sql(TERMS).select("p_partkey", F.posexplode(T.backoff_variants(F.col("term"))).alias("pos", "variant"))
 
 
+VARIED = """SELECT p_partkey, concat(CASE p_partkey % 4 WHEN 0 THEN 'Severe ' WHEN 1 THEN 'HTN and left ' ELSE '' END, p_name,
+       CASE p_partkey % 5 WHEN 0 THEN ' 10 mg' WHEN 1 THEN ' (finding)' WHEN 2 THEN ', NOS' ELSE '' END) AS term FROM {part}"""
+
+
+def _variants_sql() -> str:
+    steps = [S.strip(f"regexp_replace(regexp_replace(term, {S.q(p)}, {S.q(to)}, 'g'), '\\s+', ' ', 'g')") for p, to in V.VARIANT_STEPS]
+    rows = " UNION ALL ".join(f"SELECT p_partkey, {i + 1} AS pos, {step} AS v FROM ({VARIED})" for i, step in enumerate(steps))
+    spelled = "regexp_replace(lower(term), '(^| )htn( |$)', '\\1hypertension\\2')"
+    return f"""WITH raw AS (SELECT p_partkey, 0 AS pos, term AS v FROM ({VARIED}) UNION ALL {rows} UNION ALL SELECT p_partkey, 9, {spelled} FROM ({VARIED}))
+        SELECT p_partkey, arg_min(v, pos) AS variant FROM raw WHERE v <> '' GROUP BY p_partkey, lower(v)"""
+
+
+@query("query_variants", "H31", _variants_sql())
+def _(t):
+    return t.sql(VARIED).select("p_partkey", F.explode(T.query_variants(F.col("term"))).alias("variant"))
+
+
 @query(
     "search_tokens", "H32",
     f"""SELECT p_partkey, string_agg(token, ' ' ORDER BY token) AS tokens FROM (SELECT DISTINCT p_partkey,

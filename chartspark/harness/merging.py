@@ -469,7 +469,7 @@ MERGED_EVIDENCE = EVIDENCE.replace("FROM (" + CANDIDATES + "))", "FROM merged)",
 @query(
     "augmentation_summary", "D1 D2 C9 K16",
     f"""WITH {KEYED}, {GROUPS}, {MERGED}, {MERGED_EVIDENCE}, {SETTLED}, {SCORED}, {TIERED}
-        SELECT c_mktsegment AS segment, resource_type, classification, tier, count(*) AS n_facts, round(avg(score), 6)::DOUBLE AS mean_score
+        SELECT c_mktsegment AS segment, resource_type, classification, tier, count(*) AS n_facts, sum((score * 1000)::BIGINT)::BIGINT AS score_thousandths
         FROM tiered JOIN {{customer}} ON c_custkey = patient_id::BIGINT GROUP BY ALL""",
 )
 def _(t):
@@ -481,5 +481,5 @@ def _(t):
     return (
         scored.join(segments, "patient_id")
         .groupBy("segment", "resource_type", "classification", F.col("confidence_tier").alias("tier"))
-        .agg(F.count(F.lit(1)).alias("n_facts"), F.round(F.avg("confidence_score"), 6).alias("mean_score"))
+        .agg(F.count(F.lit(1)).alias("n_facts"), F.sum(F.round(F.col("confidence_score") * 1000).cast("bigint")).alias("score_thousandths"))
     )
