@@ -101,7 +101,7 @@ def stable_wrong_cases(stability: DataFrame) -> DataFrame:
 
 def code_accuracy(rows: DataFrame) -> DataFrame:
     """Share of matched facts with a right code: overall (system null) and per expected system."""
-    judged = rows.where(F.col("code_matched").isNotNull()).withColumn("ok", F.when("code_matched", 1.0).otherwise(0.0))
+    judged = rows.where(F.col("code_matched").isNotNull()).withColumn("ok", F.when(F.col("code_matched"), 1.0).otherwise(0.0))
     overall = judged.agg(F.avg("ok").alias("accuracy"), F.count(F.lit(1)).alias("n")).select(
         F.lit(None).cast("string").alias("system"), "accuracy", "n"
     )
