@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspark.llm import simhash
+from chartspark.llm import language, line_chunks, simhash
 from chartspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,3 +24,47 @@ def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint and component of near copies of every document."""
     found = simhash.near_copies(table(spark, folder, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+@query
+def op10_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Predicted language of every document; learnt without the held-out third."""
+    docs = table(spark, folder, "documents")
+    found = language.predict(docs, language.train(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op8_line_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines removed from every document, and what is left of its text."""
+    docs = table(spark, folder, "documents").select("doc_id", "text", F.size(line_chunks.lines_of(F.coalesce("text", F.lit("")))).alias("n_lines"))
+    found = line_chunks.dedup_lines(docs, cuts_col="cuts")
+    removed = F.aggregate("cuts", F.lit(0), lambda n, c: n + c["end"] - c["start"])
+    return found.select(
+        "doc_id", F.col("n_lines").cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"),
+        F.size("cuts").cast("long").alias("n_chunks"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
+
+
+ORACLE["op8_line_chunks"] = """
+WITH lines AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i
+  FROM documents
+), hashed AS (
+  SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT AS h FROM lines
+), rolled AS (
+  SELECT *, lag(h) OVER w AS before FROM hashed WINDOW w AS (PARTITION BY doc_id ORDER BY i)
+), placed AS (
+  SELECT *, coalesce(sum(CASE WHEN (before * 257 + h) % 1000003 % 3 = 0 THEN 1 ELSE 0 END)
+    OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk FROM rolled
+), pieces AS (
+  SELECT doc_id, chunk, count(*) AS n, min(i) AS start, string_agg(line, chr(10) ORDER BY i) AS piece FROM placed GROUP BY ALL
+), judged AS (
+  SELECT *, n >= 2 AND row_number() OVER (PARTITION BY piece, n >= 2 ORDER BY doc_id, start) > 1 AS gone FROM pieces
+)
+SELECT doc_id, sum(n)::BIGINT AS n_lines, coalesce(sum(n) FILTER (gone), 0)::BIGINT AS n_removed,
+       (count(*) FILTER (gone))::BIGINT AS n_chunks,
+       sha256(coalesce(string_agg(piece, chr(10) ORDER BY start) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
