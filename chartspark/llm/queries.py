@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspark.llm import decontaminate, language, line_chunks, simhash
+from chartspark.llm import decontaminate, language, line_chunks, mixing, simhash
 from chartspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -74,3 +74,9 @@ FROM judged GROUP BY doc_id
 def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Benchmark items that leak into documents."""
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Cell, calibrated probability and decision of every document."""
+    return mixing.sample(table(spark, folder, "documents"))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chartspark.llm.common import cut_lineage, texts_of
+from chartspark.llm.common import cut_lineage, stored, texts_of
 from chartspark.llm.graph import components
 
 SHINGLE_WORDS = 3
@@ -147,3 +147,16 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return marked.join(classed.join(least, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+
+
+def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that have the smallest id of their group of near copies, once each, with all columns.
+
+    Ids decide, so rows without one cannot be told apart and stay.  Of rows that repeat a surviving id one stays.
+    """
+    groups = near_copies(docs, id_col, text_col).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("n"))
+    kept = stored(groups.where("doc_id = least").select(F.col("doc_id").alias("__id"), F.col("n").alias("__n")), "survivors")
+    found = docs.join(kept, docs[id_col].cast("long") == kept["__id"])
+    once = found.where("__n = 1").drop("__id", "__n")
+    repeated = found.where("__n > 1").dropDuplicates(["__id"]).drop("__id", "__n")
+    return once.unionByName(repeated).unionByName(docs.where(docs[id_col].isNull()))
