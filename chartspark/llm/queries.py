@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspark.llm import decontaminate, language, line_chunks, mixing, simhash
+from chartspark.llm import decontaminate, language, licenses, line_chunks, mixing, simhash
 from chartspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -80,3 +80,17 @@ def op2_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """Cell, calibrated probability and decision of every document."""
     return mixing.sample(table(spark, folder, "documents"))
+
+
+@query
+def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
+    """Licence phrases and labels of every document."""
+    found = licenses.scan(table(spark, folder, "documents"))
+    base = F.filter("matches", lambda m: m["base"])
+    starts = F.transform(base, lambda m: m["start"])
+    labels = lambda matches: F.array_join(F.array_sort(F.array_distinct(F.transform(matches, lambda m: m["label"]))), ",")
+    return found.select(
+        "doc_id", "n_words", F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        labels(base).alias("base_labels"), labels(F.col("matches")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0)).alias("score"),
+    )
