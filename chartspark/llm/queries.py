@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspark.llm import decontaminate, language, licenses, line_chunks, mixing, simhash
+from chartspark.llm import decontaminate, language, licenses, line_chunks, mixing, personal, simhash
 from chartspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,16 @@ def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
         labels(base).alias("base_labels"), labels(F.col("matches")).alias("labels"),
         F.coalesce(F.array_max(F.transform("matches", lambda m: m["share"])), F.lit(0.0)).alias("score"),
     )
+
+
+@query
+def op4_personal(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document."""
+    found = personal.find(table(spark, folder, "documents"))
+    names = F.array(*map(F.lit, personal.KINDS))
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", names[s["kind"]], s["start"], s["end"])), ",")
+    count = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    return found.select(
+        "doc_id", *(count(k).alias(f"n_{kind}") for k, kind in enumerate(personal.KINDS)),
+        F.sha2(told("base"), 256).alias("base_sha256"), told(F.sort_array(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"),
+    )
