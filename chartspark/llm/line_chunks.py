@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from chartspark.llm.common import stored
+
 BASE = 257
 PRIME = 1_000_003
 MEAN_LINES = 3
@@ -97,7 +99,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # In the keeping document the first place of a chunk stays; a later place with the same bytes goes.
     pieces = texts.select("doc_id", "tag", F.inline("pieces"))
     first = F.min("start").over(Window.partitionBy("doc_id", "tag", "key", "piece"))
-    pieces = pieces.withColumn("later", F.col("kept") & (F.col("start") > first))
+    # Stored: the branches below would otherwise deal out all documents once each.
+    pieces = stored(pieces.withColumn("later", F.col("kept") & (F.col("start") > first)), "pieces")
     keepers = pieces.where("kept and not later").select("key", "piece").distinct()
     other = pieces.where("not kept").join(keepers, ["key", "piece"]).select("doc_id", "tag", "start", "end")
     cuts = other.union(pieces.where("later").select("doc_id", "tag", "start", "end"))
