@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspark.llm import decontaminate, language, licenses, line_chunks, mixing, personal, simhash
+from chartspark.llm import decontaminate, language, licenses, line_chunks, mixing, neighbours, personal, simhash
 from chartspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,9 @@ def op4_personal(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", *(count(k).alias(f"n_{kind}") for k, kind in enumerate(personal.KINDS)),
         F.sha2(told("base"), 256).alias("base_sha256"), told(F.sort_array(F.concat("base", "added"))).alias("spans"), F.size("added").cast("long").alias("n_added"),
     )
+
+
+@query
+def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest found of every twentieth vector."""
+    return neighbours.search(table(spark, folder, "embeddings"))
