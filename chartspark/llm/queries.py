@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspark.llm import decontaminate, language, licenses, line_chunks, mixing, neighbours, personal, simhash
+from chartspark.llm import decontaminate, language, licenses, line_chunks, mixing, neighbours, personal, repeats, simhash
 from chartspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,9 @@ def op4_personal(spark: SparkSession, folder: str) -> DataFrame:
 def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest found of every twentieth vector."""
     return neighbours.search(table(spark, folder, "embeddings"))
+
+
+@query
+def op9_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    """What is left of every document without repeated strings of 100 bytes."""
+    return repeats.remove_repeats(table(spark, folder, "documents")).drop("kept")
