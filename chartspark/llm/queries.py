@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspark.llm import decontaminate, language, licenses, line_chunks, mixing, neighbours, personal, repeats, simhash
+from chartspark.llm import backoff, decontaminate, language, licenses, line_chunks, mixing, neighbours, personal, repeats, simhash
 from chartspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,40 @@ def op5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
 def op9_repeats(spark: SparkSession, folder: str) -> DataFrame:
     """What is left of every document without repeated strings of 100 bytes."""
     return repeats.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
+@query
+def op3_backoff(spark: SparkSession, folder: str) -> DataFrame:
+    """Stupid-backoff score of every document under the corpus' counts."""
+    found = backoff.score(table(spark, folder, "documents"))
+    return found.select("doc_id", "n_words", F.round("log_score", 6).alias("log_score"), F.round("mean_log", 6).alias("mean_log"))
+
+
+ORACLE["op3_backoff"] = """
+WITH trimmed AS (
+  SELECT doc_id, regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS text
+  FROM documents
+), texts AS (
+  SELECT doc_id, CASE WHEN text = '' THEN [] ELSE regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+') END AS words FROM trimmed
+), placed AS (
+  SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS i FROM texts
+), paired AS (
+  SELECT doc_id, word, lag(word) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM placed
+), singles AS (
+  SELECT word, count(*) AS n FROM placed GROUP BY word
+), pairs AS (
+  SELECT before, word, count(*) AS n FROM paired WHERE before IS NOT NULL GROUP BY ALL
+), scored AS (
+  SELECT p.doc_id, CASE WHEN p.before IS NULL THEN ln(w.n) - ln((SELECT count(*) FROM placed))
+    WHEN c.n >= 2 THEN ln(c.n) - ln(b.n)
+    ELSE ln(0.4) + ln(w.n) - ln((SELECT count(*) FROM placed)) END AS s
+  FROM paired p JOIN singles w ON w.word = p.word
+  LEFT JOIN pairs c ON c.before = p.before AND c.word = p.word
+  LEFT JOIN singles b ON b.word = p.before
+), sums AS (
+  SELECT doc_id, count(*) AS n, sum(s) AS s FROM scored GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_words, round(coalesce(s, 0), 6) AS log_score, round(s / n, 6) AS mean_log
+FROM (SELECT DISTINCT doc_id FROM texts) t LEFT JOIN sums USING (doc_id)
+"""
