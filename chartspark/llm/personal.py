@@ -2,10 +2,11 @@
 
 Base spans are found by pattern and check and always stay.  Generators propose further, looser
 spans; each has a few discrete features of format and context.  Its weak label is whether it lies on
-a base span of its kind.  Features have few values, so the whole corpus of candidates sums up to one
+a base span of its kind, or is a card number by itself that the base pattern lost in a longer one.
+Features have few values, so the whole corpus of candidates sums up to one
 small table of distinct feature rows with counts; the trees are boosted on that table, which is exact and
-not a sample.  Per kind the threshold is the lowest score at which ``PRECISION`` of the labels above it
-hold.  Trees become SQL expressions.  A document's spans never leave its row: nothing is shuffled but the table.
+not a sample.  Per kind the threshold is the lowest score down to which ``PRECISION`` of the labels at every
+score hold.  Trees become SQL expressions.  A document's spans never leave its row: nothing is shuffled but the table.
 """
 
 from __future__ import annotations
@@ -206,16 +207,21 @@ def boost(table: list[tuple[dict[str, int], int, int]]) -> list[Split | Leaf]:
 
 
 def thresholds(table: list[tuple[dict[str, int], int, int]], trees: list[Split | Leaf]) -> list[float]:
-    """Per kind the lowest score from which ``PRECISION`` of the labels hold; infinite where there is none."""
+    """Per kind the lowest score down to which every score level has ``PRECISION`` of its labels; infinite where there is none."""
     out = []
     for kind in range(len(KINDS)):
-        scored = sorted(((sum(value_of(t, x) for t in trees), good, n) for x, good, n in table if x["kind"] == kind), reverse=True)
-        limit, hits, seen = math.inf, 0, 0
-        for k, (score, good, n) in enumerate(scored):
-            hits, seen = hits + good, seen + n
-            tied = k + 1 < len(scored) and abs(scored[k + 1][0] - score) < 1e-9
-            if not tied and hits >= PRECISION * seen and score > 0:
-                limit = score
+        levels: dict[float, list[int]] = {}
+        for x, good, n in table:
+            if x["kind"] == kind:
+                level = levels.setdefault(round(sum(value_of(t, x) for t in trees), 9), [0, 0])
+                level[0] += good
+                level[1] += n
+        limit = math.inf
+        for score in sorted(levels, reverse=True):
+            good, n = levels[score]
+            if score <= 0 or good < PRECISION * n:
+                break
+            limit = score
         out.append(limit)
     return out
 
@@ -235,8 +241,9 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     meets = lambda c, b: (b["start"] < c["end"]) & (c["start"] < b["end"])
     within = lambda c, b: meets(c, b) & (b["kind"] == c["kind"])
+    alone = lambda c: (c["kind"] == KINDS.index("card")) & (c["checked"] == 1) & c["digits"].between(3, 4)
     found = rows.select("doc_id", F.inline(F.array(F.struct(base_spans(F.col("text")).alias("base"), candidates(F.col("text")).alias("loose")))))
-    labelled = F.transform("loose", lambda c: F.struct(c.alias("c"), F.exists("base", lambda b: within(c, b)).alias("label"), F.exists("base", lambda b: meets(c, b)).alias("taken")))
+    labelled = F.transform("loose", lambda c: F.struct(c.alias("c"), (alone(c) | F.exists("base", lambda b: within(c, b))).alias("label"), F.exists("base", lambda b: meets(c, b)).alias("taken")))
     found = stored(found.select("doc_id", "base", labelled.alias("loose")), "spans")
     counted = (
         found.select(F.explode("loose").alias("x"))
