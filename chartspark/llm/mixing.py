@@ -57,12 +57,15 @@ def tokens_of(text: Column) -> Column:
     return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, " "))).cast("long")
 
 
+def named(label: Column) -> Column:
+    return F.coalesce(F.nullif(label.cast("string"), F.lit("")), F.lit(NONE))
+
+
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
     """``(doc_id, source, lang, topic, n_tokens, draw)`` of every row; null or empty labels are ``(none)``."""
     text = F.coalesce(docs[text_col], F.lit(""))
-    named = lambda c: F.coalesce(F.nullif(docs[c].cast("string"), F.lit("")), F.lit(NONE))
     return docs.select(
-        docs[id_col].cast("long").alias("doc_id"), named(source_col).alias("source"), named(lang_col).alias("lang"),
+        docs[id_col].cast("long").alias("doc_id"), named(docs[source_col]).alias("source"), named(docs[lang_col]).alias("lang"),
         topic_of(text).alias("topic"), tokens_of(text).alias("n_tokens"), draw_of(docs[id_col], text).alias("draw"),
     )
 
@@ -138,13 +141,15 @@ def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", plan: Plan = Plan()) -> DataFrame:
     """The kept rows of ``docs`` with all their columns, ``topic``, ``probability`` and ``weight``; names taken get a leading ``mix_``."""
-    cells = fit(features(docs, id_col, text_col, source_col, lang_col), plan).select(*(F.col(k).alias(f"__{k}") for k in KEYS), F.col("probability").alias("__p"))
-    text = F.coalesce(docs[text_col], F.lit(""))
-    named = lambda c: F.coalesce(F.nullif(docs[c].cast("string"), F.lit("")), F.lit(NONE))
-    same = (named(source_col) == F.col("__source")) & (named(lang_col) == F.col("__lang")) & (topic_of(text) == F.col("__topic"))
+    cells = fit(features(docs, id_col, text_col, source_col, lang_col), plan)
+    d, c = docs.alias("d"), cells.alias("c")
+    col = lambda x: F.col(f"d.`{x}`")
+    text = F.coalesce(col(text_col), F.lit(""))
+    same = (named(col(source_col)) == F.col("c.source")) & (named(col(lang_col)) == F.col("c.lang")) & (topic_of(text) == F.col("c.topic"))
     name = lambda x: f"mix_{x}" if x in docs.columns else x
+    p = F.col("c.probability")
     return (
-        docs.join(cells, same)
-        .where(draw_of(docs[id_col], text, plan.seed) < F.col("__p"))
-        .select(*(docs[c] for c in docs.columns), F.col("__topic").alias(name("topic")), F.col("__p").alias(name("probability")), (1 / F.col("__p")).alias(name("weight")))
+        d.join(c, same)
+        .where(draw_of(col(id_col), text, plan.seed) < p)
+        .select(*(col(x) for x in docs.columns), F.col("c.topic").alias(name("topic")), p.alias(name("probability")), (1 / p).alias(name("weight")))
     )

@@ -155,8 +155,9 @@ def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Ids decide, so rows without one cannot be told apart and stay.  Of rows that repeat a surviving id one stays.
     """
     groups = near_copies(docs, id_col, text_col).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("n"))
-    kept = stored(groups.where("doc_id = least").select(F.col("doc_id").alias("__id"), F.col("n").alias("__n")), "survivors")
-    found = docs.join(kept, docs[id_col].cast("long") == kept["__id"])
-    once = found.where("__n = 1").drop("__id", "__n")
-    repeated = found.where("__n > 1").dropDuplicates(["__id"]).drop("__id", "__n")
-    return once.unionByName(repeated).unionByName(docs.where(docs[id_col].isNull()))
+    kept = stored(groups.where("doc_id = least").select("doc_id", "n"), "survivors")
+    d, k = docs.alias("d"), kept.alias("k")
+    found = d.join(k, F.col(f"d.`{id_col}`").cast("long") == F.col("k.doc_id"))
+    once = found.where("k.n = 1").select("d.*")
+    repeated = found.where("k.n > 1").select("d.*").dropDuplicates([id_col])
+    return once.union(repeated).union(docs.where(docs[id_col].isNull()))
