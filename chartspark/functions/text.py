@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -404,3 +405,47 @@ def temporal_context(note_date: Column, admission_date: Column, discharge_date:
         )
     ]
     return F.coalesce(blank_to_null(F.concat_ws("; ", *labelled)), F.lit("none"))
+
+
+# -- places of matches ---------------------------------------------------------------------------
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once per row, also where lambdas use it for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running_sums(values: Column, block: int = 256) -> Column:
+    """Sum of an integer array up to and with each element; block by block, so long arrays stay near linear."""
+
+    def within(part: Column) -> Column:
+        start = F.struct(F.lit(0).alias("sum"), F.array().cast("array<int>").alias("sums"))
+        return F.aggregate(
+            part, start,
+            lambda s, x: F.struct((s["sum"] + x).alias("sum"), F.array_append(s["sums"], s["sum"] + x).alias("sums")),
+            lambda s: s["sums"],
+        )
+
+    def shifted(parts: Column) -> Column:
+        ends = within(F.transform(parts, lambda p: F.aggregate(p, F.lit(0), lambda a, x: a + x)))
+        return let(ends, lambda e: F.flatten(F.transform(parts, lambda p, i: F.transform(within(p), lambda x: x + F.coalesce(F.get(e, i - 1), F.lit(0))))))
+
+    starts = F.sequence(F.lit(0), F.greatest(F.size(values) - 1, F.lit(0)), F.lit(block))
+    return let(F.transform(starts, lambda a: F.slice(values, a + 1, block)), shifted)
+
+
+def placed_matches(text: Column, pattern: str) -> Column:
+    """``array<struct<start, end, text>>`` of every match; the pieces around the matches give the places."""
+
+    def placed(hits: Column) -> Column:
+        pieces = F.split(text, pattern, -1)
+        lengths = let(pieces, lambda p: F.transform(hits, lambda h, i: F.length(p[i]) + F.length(h)))
+        return let(
+            running_sums(lengths),
+            lambda ends: F.transform(hits, lambda h, i: F.struct((ends[i] - F.length(h)).alias("start"), ends[i].alias("end"), h.alias("text"))),
+        )
+
+    def found(hits: Column) -> Column:
+        return F.when(F.size(hits) > 0, placed(hits)).otherwise(F.array().cast("array<struct<start:int,end:int,text:string>>"))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)

@@ -2,7 +2,7 @@ from pyspark.sql import functions as F
 
 from chartspark.functions import clinical as C
 from chartspark.functions import text as T
-from chartspark.operators.sentences import sentence_spans
+from chartspark.operators.sentences import split_sentences
 
 
 def one(spark, **columns):
@@ -46,17 +46,23 @@ def test_call_cost_rounds_half_even(spark):
     assert [str(v) for v in row] == ["0.001320", "0.000002", "0.000330"]
 
 
-def test_splitter_cases():
-    texts = lambda t: [s["text"] for s in sentence_spans(t)]
+def sentences(spark, *texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", split_sentences(F.col("t")).alias("s"))
+    return [r["s"] for r in sorted(rows.collect(), key=lambda r: r["i"])]
+
+
+def test_splitter_cases(spark):
+    texts = lambda t: [s["text"] for s in sentences(spark, t)[0]]
     assert len(texts("BP 120.5/80. Next sentence.")) == 2
     assert texts("Seen by Dr. Smith. Plan follows.")[0] == "Seen by Dr. Smith."
     assert len(texts("Plan: 1. Labs. 2. Imaging.")) == 1
     assert texts("ASSESSMENT\nEpigastric pain.") == ["ASSESSMENT", "Epigastric pain."]
     assert texts("J. Doe came.\n1. Rest.\nHome.") == ["J. Doe came.", "1. Rest.", "Home."]
-    assert sentence_spans("") == []
+    assert sentences(spark, "", None, " \n") == [[], [], []]
 
 
-def test_splitter_offsets():
+def test_splitter_offsets(spark):
     text = "  First 🙂 one. Second\n\nThird: a) x. b) y.\n| cell\nFourth."
-    for span in sentence_spans(text):
+    text += " Long line without an end, 4 mg daily.\n" * 400
+    for span in sentences(spark, text)[0]:
         assert text[span["start"] : span["end"]] == span["text"]
