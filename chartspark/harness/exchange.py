@@ -14,14 +14,14 @@ from chartspark.plans import augmentation
 from chartspark.sources import bundles
 from chartspark.streaming import jobs
 
-# -- bundles: one bundle text per nation, its customers are encounters and its orders documents ---------------------
+# -- bundles: one bundle text per customer, with its orders as documents ---------------------
 
 
 def _bundle_files(t):
     entries = (
-        t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey")).where("o_orderkey % 50 = 0")
+        t.orders.join(t.customer, F.col("o_custkey") == F.col("c_custkey"))
         .select(
-            F.col("c_nationkey").alias("n"), "o_orderkey",
+            F.col("c_custkey").alias("n"), "o_orderkey",
             F.concat(
                 F.lit('{"fullUrl": "urn:uuid:'), "o_orderkey", F.lit('", "resource": {"resourceType": "DocumentReference", "id": "d'), "o_orderkey",
                 F.lit('", "date": "2026-01-01", "type": {"text": "Progress note"}, "author": [{"display": "Dr", "reference": "Practitioner/p'), F.col("o_custkey") % 7,
@@ -37,7 +37,7 @@ def _bundle_files(t):
     )
 
 
-IN_BUNDLES = "SELECT c_nationkey AS n, o_orderkey, o_custkey FROM {orders} JOIN {customer} ON o_custkey = c_custkey WHERE o_orderkey % 50 = 0"
+IN_BUNDLES = "SELECT c_custkey AS n, o_orderkey, o_custkey FROM {orders} JOIN {customer} ON o_custkey = c_custkey"
 
 
 @query(
@@ -82,10 +82,10 @@ def _(t):
 
 @query(
     "provenance_for", "A6",
-    "SELECT DISTINCT CAST(o_custkey AS STRING) AS patient_id, CAST(l_orderkey * 10 + l_linenumber AS STRING) AS resource_id FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey WHERE o_orderkey % 3 = 0",
+    "SELECT DISTINCT CAST(o_custkey AS STRING) AS patient_id, CAST(l_orderkey * 10 + l_linenumber AS STRING) AS resource_id FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey",
 )
 def _(t):
-    resources = t.orders.where("o_orderkey % 3 = 0").select(F.col("o_custkey").cast("string").alias("patient_id"), F.lit("Condition").alias("resource_type"), F.col("o_orderkey").cast("string").alias("resource_id"))
+    resources = t.orders.select(F.col("o_custkey").cast("string").alias("patient_id"), F.lit("Condition").alias("resource_type"), F.col("o_orderkey").cast("string").alias("resource_id"))
     provenances = t.lineitem.select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string").alias("resource_id"),
         F.concat(F.lit('{"target": [{"reference": "Condition/'), "l_orderkey", F.lit('"}, {"reference": "Device/1"}]}')).alias("resource"),
@@ -213,17 +213,27 @@ def _(t):
     return t.orders.select("o_orderkey", F.array_join(rule_lane.literal_dates(text), ",").alias("dates"))
 
 
-GAZETTEER = "SELECT DISTINCT 'words' AS system, token AS code, token AS display FROM (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')) AS token FROM {benchmark}) WHERE length(token) > 8"
+def _grams(table: str, keys: str) -> str:
+    """Words and runs of three words of a text column."""
+    words = r"regexp_extract_all(lower(text), '[\p{L}\p{N}]+')"
+    runs = "unnest(list_concat(w, [array_to_string(w[i:i+2], ' ') FOR i IN range(1, len(w) - 1)]))"
+    return f"SELECT {keys}{runs} AS gram FROM (SELECT *, {words} AS w FROM {table})"
 
 
 @query(
     "gazetteer_candidates", "K14",
-    f"""SELECT DISTINCT document_id, number, code FROM (SELECT document_id, number, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) AS gram FROM ({TURNS})) JOIN ({GAZETTEER}) ON code = gram""",
+    f"SELECT DISTINCT document_id, number, gram AS code FROM ({_grams(f'({TURNS})', 'document_id, number, ')}) JOIN (SELECT DISTINCT gram FROM ({_grams('{benchmark}', '')})) USING (gram)",
 )
 def _(t):
-    words = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("token")).where("length(token) > 8").distinct()
-    terms = words.select(F.lit("words").alias("system"), F.col("token").alias("code"), F.col("token").alias("display"))
-    return rule_lane.gazetteer_candidates(t.sql(TURNS), terms, 2).select("document_id", "number", "code").distinct()
+    """Every word and every run of three words of the benchmark passages as a term."""
+    return rule_lane.gazetteer_candidates(t.sql(TURNS), _terms(t)).select("document_id", "number", "code").distinct()
+
+
+def _terms(t):
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    runs = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 2, F.lit(0))), lambda x, i: F.array_join(F.slice("w", i + 1, 3), " "))
+    terms = t.benchmark.select(words.alias("w")).select(F.explode(F.concat("w", runs)).alias("term")).distinct()
+    return terms.select(F.lit("words").alias("system"), F.col("term").alias("code"), F.col("term").alias("display"))
 
 
 @query(
@@ -271,11 +281,10 @@ def _(t):
 
 @query("rule_lane_extract", "K11 K12 K14")
 def _(t):
-    """Whole documents through the rule lane, with long words of the benchmark passages as the terms."""
-    words = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))).alias("token")).where("length(token) > 8").distinct()
-    terms = words.select(F.lit("Condition").alias("resource_type"), F.lit("words").alias("system"), F.col("token").alias("code"), F.col("token").alias("display"))
+    """Whole documents through the rule lane, with words and phrases of the benchmark passages as the terms."""
+    terms = _terms(t).withColumn("resource_type", F.lit("Condition"))
     notes = sentences.with_sentences(t.documents.select(F.col("doc_id").alias("document_id"), "text"))
-    return rule_lane.extract(notes, terms, CUES, 1).select("document_id", "number", "item.name", "item.negated", "item.certainty")
+    return rule_lane.extract(notes, terms, CUES).select("document_id", "number", "item.name", "item.negated", "item.certainty")
 
 
 # -- batch twins of the streams ---------------------------------------------------------------------------------------------------

@@ -433,12 +433,12 @@ def _(t):
 
 @query(
     "missing_traps", "J9",
-    "SELECT DISTINCT d.source AS note_id, b.lang AS trap_type FROM {documents} d JOIN (SELECT DISTINCT 'src' || (doc_id % 30) AS note_id, lang FROM {documents} WHERE doc_id < 60) b ON b.note_id = d.source WHERE NOT EXISTS (SELECT 1 FROM {documents} x WHERE x.source = d.source AND x.lang = b.lang AND x.n_chars > 12000)",
+    "SELECT DISTINCT d.source AS note_id, b.lang AS trap_type FROM {documents} d JOIN (SELECT DISTINCT 'src' || (doc_id % 30) AS note_id, lang FROM {documents}) b ON b.note_id = d.source WHERE NOT EXISTS (SELECT 1 FROM {documents} x WHERE x.source = d.source AND x.lang = b.lang AND x.n_chars > 12000)",
 )
 def _(t):
     notes = t.documents
     labels = notes.select(F.col("source").alias("note_id"), F.lit("trap").alias("tier")).distinct()
-    required = notes.where("doc_id < 60").select(F.concat(F.lit("src"), F.col("doc_id") % 30).alias("note_id"), F.col("lang").alias("trap_type")).distinct()
+    required = notes.select(F.concat(F.lit("src"), F.col("doc_id") % 30).alias("note_id"), F.col("lang").alias("trap_type")).distinct()
     traps = notes.where("n_chars > 12000").select(F.col("source").alias("note_id"), F.col("lang").alias("trap_type")).distinct()
     return quality.missing_traps(labels, traps, required).select("note_id", F.col("detail").alias("trap_type"))
 

@@ -273,13 +273,13 @@ def _(t):
 def _(t):
     keyed = merge.with_merge_key(candidate_items(t))
     scoped = merge.adjudication_scopes(merge.mark_ambiguous(merge.merge_groups(keyed)))
-    return lanes.with_key(lanes.merge_requests(merge.adjudication_ids(scoped), keyed), "m", "v1").select("patient_id", "scope", "pack", "content_key", "user_text")
+    return lanes.with_key(lanes.merge_requests(merge.adjudication_ids(scoped), keyed), "m", "v1").select("patient_id", "scope", "content_key", "user_text")
 
 
 @query("reconcile_requests", "K8")
 def _(t):
     matched = reconcile.match_candidates(candidate_items(t).where("resource_type = 'Condition'"), chart_facts(t).where("resource_type = 'Condition'"))
-    return lanes.reconcile_requests(matched).select("resource_type", "pack", "user_text")
+    return lanes.reconcile_requests(matched).select("patient_id", "resource_type", "user_text")
 
 
 @query(

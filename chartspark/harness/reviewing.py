@@ -139,11 +139,19 @@ def _proposals(t):
 
 @query(
     "inter_proposal_conflicts", "C25",
-    f"WITH {DRUGS} SELECT cand_id, {S.stable_id('cg', 'patient_id || chr(31) || ingredient')} AS conflict_group_id, members - 1 AS n_flags FROM clash",
+    f"WITH {DRUGS} SELECT cand_id, {S.stable_id('cg', 'patient_id || chr(31) || ingredient')} AS conflict_group_id, 'Inter-note conflict: contradicts ' || (members - 1) || ' in its group' AS flag FROM clash",
 )
 def _(t):
     linked = assembly.link_conflicts(_proposals(t)).where("conflict_group_id IS NOT NULL AND confidence_tier = 'ATTENTION'")
-    return linked.select("cand_id", "conflict_group_id", F.size("flags").cast("bigint").alias("n_flags"))
+    return linked.select("cand_id", "conflict_group_id", F.array_join("flags", "|").alias("flag"))
+
+
+@query(
+    "conflict_members", "C25",
+    f"WITH {DRUGS} SELECT {S.stable_id('cg', 'patient_id || chr(31) || ingredient')} AS conflict_group_id, cand_id AS id, NOT stopped AS later, coalesce(name, '') AS label FROM clash",
+)
+def _(t):
+    return assembly.conflict_members(_proposals(t)).select("conflict_group_id", "id", "later", "label")
 
 
 @query(

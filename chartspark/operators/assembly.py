@@ -221,35 +221,26 @@ def medication_conflicts(proposals: DataFrame) -> DataFrame:
     return drugs.join(groups, ["patient_id", "ingredient"]).select("id", "cand_pos", "conflict_group_id", "stopped", "members", F.coalesce("item.name", F.lit("")).alias("label"))
 
 
-MAX_FLAGGED_GROUP = 50
+def conflict_members(proposals: DataFrame) -> DataFrame:
+    """One row per member of a conflict group: ``conflict_group_id, later, cand_pos, id, label``; stopped ones are not ``later``.
+
+    A reader of a proposal finds whom it contradicts here, in the order ``later, cand_pos``.
+    """
+    return medication_conflicts(proposals).select("conflict_group_id", (~F.col("stopped")).alias("later"), "cand_pos", "id", "label")
 
 
 def link_conflicts(proposals: DataFrame) -> DataFrame:
-    """Adds ``conflict_group_id``, lifts members to ATTENTION and flags them.
+    """Adds ``conflict_group_id``, lifts members to ATTENTION and flags each with the number of others.
 
-    Groups of up to ``MAX_FLAGGED_GROUP`` members get one flag per other member, stopped ones
-    first.  A larger group gets one flag with its size; its members are the rows that share
-    the group id, so nothing is lost.
+    Names of the others are rows of ``conflict_members``: a flag has one size however large its group is.
     """
-    members = medication_conflicts(proposals)
-    small = members.where(F.col("members") <= MAX_FLAGGED_GROUP)
-    lists = small.groupBy("conflict_group_id").agg(
-        F.array_sort(F.collect_list(F.struct((~F.col("stopped")).alias("later"), "cand_pos", "id", "label"))).alias("list")
-    )
-    own = members.join(lists, "conflict_group_id", "left").select(
-        "id", "conflict_group_id",
-        F.when(
-            F.col("list").isNotNull(),
-            F.transform(F.filter("list", lambda m: m["id"] != F.col("id")), lambda m: F.concat(F.lit("Inter-note conflict: contradicts "), m["label"])),
-        )
-        .otherwise(F.array(F.concat(F.lit("Inter-note conflict: contradicts "), (F.col("members") - 1).cast("string"), F.lit(" others in the group"))))
-        .alias("conflict_flags"),
-    )
+    flag = F.concat(F.lit("Inter-note conflict: contradicts "), (F.col("members") - 1).cast("string"), F.lit(" in its group"))
+    own = medication_conflicts(proposals).select("id", "conflict_group_id", flag.alias("conflict_flag"))
     linked = proposals.join(own, "id", "left")
     return (
         linked.withColumn("confidence_tier", F.when(F.col("conflict_group_id").isNotNull(), "ATTENTION").otherwise(F.col("confidence_tier")))
-        .withColumn("flags", F.concat("flags", F.coalesce("conflict_flags", F.array().cast("array<string>"))))
-        .drop("conflict_flags")
+        .withColumn("flags", F.concat("flags", F.array_compact(F.array("conflict_flag"))))
+        .drop("conflict_flag")
     )
 
 

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from chartspark import schemas
 from chartspark.functions import text as T
-from chartspark.operators.ranking import with_rank
 
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
@@ -253,11 +252,8 @@ def apply_cleaner(items: DataFrame, responses: DataFrame) -> DataFrame:
 # -- merge, reconcile ------------------------------------------------------------------------------
 
 
-def merge_requests(ids: DataFrame, keyed: DataFrame, lines_per_request: int = 200, system_text: str = "") -> DataFrame:
-    """Groups of a scope as numbered lines, packed into requests of bounded size.
-
-    The ids run over the whole scope, so decisions mean the same in every pack.
-    """
+def merge_requests(ids: DataFrame, keyed: DataFrame, system_text: str = "") -> DataFrame:
+    """Groups of a patient's scope as numbered lines of one request, so that any two of them can be merged."""
     names = keyed.join(ids.select("patient_id", "merge_key", "scope", "group_id"), ["patient_id", "merge_key"]).groupBy(
         "patient_id", "scope", "group_id", "resource_type"
     ).agg(F.min(T.item_name(F.col("resource_type"), F.col("item.name"), F.col("item.substance"), F.col("item.relationship"))).alias("name"), F.count(F.lit(1)).alias("n"))
@@ -266,45 +262,34 @@ def merge_requests(ids: DataFrame, keyed: DataFrame, lines_per_request: int = 20
         F.lit('" x'), F.col("n").cast("string"),
     )
     return (
-        names.withColumn("pack", F.floor((F.col("group_id") - 1) / lines_per_request))
-        .groupBy("patient_id", "scope", "pack")
+        names.groupBy("patient_id", "scope")
         .agg(F.array_sort(F.collect_list(F.struct("group_id", line.alias("line")))).alias("lines"))
         .select(
-            "patient_id", "scope", "pack", F.lit("merge").alias("lane"), F.lit(system_text).alias("system_text"),
+            "patient_id", "scope", F.lit("merge").alias("lane"), F.lit(system_text).alias("system_text"),
             F.array_join(F.transform("lines", lambda s: s["line"]), "\n").alias("user_text"),
         )
     )
 
 
-def reconcile_requests(matched: DataFrame, pairs_per_request: int = 50, system_text: str = "") -> DataFrame:
-    """Ambiguous candidates as indexed pairs, packed per type; only the residue is asked about."""
-    asked = with_rank(
-        matched.where("classification = 'AMBIGUOUS'").select("cand_id", "resource_type", "item", "match_resource_id", "match_key"),
-        ["resource_type"], ["cand_id"], rank="place",
-    )
+def reconcile_requests(matched: DataFrame, system_text: str = "") -> DataFrame:
+    """Ambiguous candidates as indexed pairs, one request per patient and type; only the residue is asked about."""
+    asked = matched.where("classification = 'AMBIGUOUS'")
     line = F.concat(F.lit("Candidate: "), F.coalesce("item.name", F.lit("")), F.lit("\n    Chart:     "), "match_resource_id", F.lit(" "), "match_key")
-    return (
-        asked.withColumn("pack", F.floor((F.col("place") - 1) / pairs_per_request))
-        .withColumn("index", ((F.col("place") - 1) % pairs_per_request).cast("int"))
-        .groupBy("resource_type", "pack")
-        .agg(F.array_sort(F.collect_list(F.struct("index", "cand_id", line.alias("line")))).alias("pairs"))
-        .withColumn(
-            "user_text",
-            F.array_join(F.transform("pairs", lambda p: F.concat(F.lit("["), p["index"].cast("string"), F.lit("] "), p["line"])), "\n\n"),
-        )
-        .withColumn("lane", F.lit("reconcile"))
-        .withColumn("system_text", F.lit(system_text))
+    pairs = asked.groupBy("patient_id", "resource_type").agg(F.array_sort(F.collect_list(F.struct("cand_id", line.alias("line")))).alias("pairs"))
+    text = F.transform("pairs", lambda p, i: F.concat(F.lit("["), i.cast("string"), F.lit("] "), p["line"]))
+    return pairs.select(
+        "patient_id", "resource_type", "pairs", F.array_join(text, "\n\n").alias("user_text"), F.lit("reconcile").alias("lane"), F.lit(system_text).alias("system_text")
     )
 
 
 def reconcile_verdicts(requests: DataFrame, responses: DataFrame) -> DataFrame:
-    """Index-addressed answers back to candidates; an index outside the pack is ignored.
+    """Index-addressed answers back to candidates; an index outside the request is ignored.
 
-    ``responses``: ``resource_type, pack, response``.
+    ``responses``: ``patient_id, resource_type, response``.
     """
     answer = "decisions array<struct<index:int,classification:string,reasoning:string>>"
     decided = requests.join(
-        responses.select("resource_type", "pack", F.from_json("response", answer).alias("a")), ["resource_type", "pack"]
+        responses.select("patient_id", "resource_type", F.from_json("response", answer).alias("a")), ["patient_id", "resource_type"]
     ).select("pairs", F.posexplode("a.decisions").alias("at", "d"))
     return (
         decided.where((F.col("d.index") >= 0) & (F.col("d.index") < F.size("pairs")))
