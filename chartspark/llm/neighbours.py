@@ -5,8 +5,8 @@ Lists are cells of k-means fitted on a bounded sample; every vector is in the in
 vectors lie rotated at random in column blocks.  After each block a hypothesis test compares the
 distance so far with what a vector at the current k-th distance would show; those that fail are
 abandoned, and the survivors get their exact score on the original vectors in double precision.
-Each query starts from a limit it knows before any list: its k-th distance among a few scouts, which are
-candidates too, so that no query finds fewer than it should.
+Each query starts from a limit it knows before any list: its k-th distance among the sample, whose vectors ("scouts")
+are candidates too, so that no query finds fewer than it should.
 
 How many lists to probe is measured on the sample, for a recall of ``RECALL`` against brute force there.
 
@@ -29,7 +29,6 @@ from pyspark.sql.window import Window
 from chartspark.llm.common import stored, unit_hash
 
 SAMPLE = 20_000
-SCOUTS = 2_000
 LISTS = 4_096
 ROUNDS = 8
 RECALL = 0.97
@@ -126,7 +125,7 @@ def fit(sample: np.ndarray, entries: np.ndarray, total: int, norm: float, k: int
     rng = np.random.default_rng(11)
     size = sample.shape[1] + 1
     rotation, _ = np.linalg.qr(rng.standard_normal((size, size)))
-    frame = Frame(norm, rotation, np.zeros((1, size)), sample[:SCOUTS], entries[:SCOUTS], 1, k)
+    frame = Frame(norm, rotation, np.zeros((1, size)), sample, entries, 1, k)
     raised = frame.raised(sample, False)
     frame.centres = kmeans(raised, int(np.clip(1.5 * np.sqrt(total), 1, min(LISTS, max(1, len(sample) // 4)))))
     tried = rng.choice(len(sample), min(200, len(sample)), replace=False)
