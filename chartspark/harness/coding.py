@@ -57,16 +57,17 @@ def _(t):
     return terminology.supported_codes(_codes(t)).select("p_partkey")
 
 
-@query("ground_codes", "C22", "SELECT p_partkey FROM {part} WHERE p_partkey % 4 >= 2 OR (p_partkey % 4 = 0 AND p_size % 9 <> 0 AND p_partkey IN (SELECT l_partkey FROM {lineitem} WHERE l_quantity > 45))")
+@query("ground_codes", "C22", "SELECT p_partkey FROM {part} WHERE p_partkey % 4 >= 2 OR (p_partkey % 4 = 0 AND p_size % 9 <> 0 AND p_partkey IN (SELECT CASE WHEN l_quantity > 45 THEN l_partkey ELSE -l_partkey END FROM {lineitem}))")
 def _(t):
-    known = t.lineitem.where("l_quantity > 45").select(F.lit(V.SNOMED).alias("uri"), F.col("l_partkey").cast("string").alias("code"))
+    code = F.when(F.col("l_quantity") > 45, F.col("l_partkey")).otherwise(-F.col("l_partkey"))
+    known = t.lineitem.select(F.lit(V.SNOMED).alias("uri"), code.cast("string").alias("code"))
     return terminology.ground_codes(_codes(t), known).select("p_partkey")
 
 
 # -- search -------------------------------------------------------------------------------------------------
 
 ASKED = """SELECT concat('j', p_partkey) AS job_id, CASE p_partkey % 2 WHEN 0 THEN 'icd10' ELSE 'snomed' END AS system,
-    CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN concat(lower(p_type), '  ', p_name) WHEN 2 THEN concat('very special ', p_name) ELSE concat(p_name, ' zzz') END AS query FROM {part} WHERE p_size <= 25"""
+    CASE p_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN concat(lower(p_type), '  ', p_name) WHEN 2 THEN concat('very special ', p_name) ELSE concat(p_name, ' zzz') END AS query FROM {part}"""
 _TOK = "list_distinct(regexp_extract_all(lower({0}), '[a-z0-9]+'))"
 SEARCH = f"""{TERMINOLOGY}, docs AS (SELECT *, {_TOK.format('display')} AS have FROM term), asked AS (SELECT DISTINCT system, query, {_TOK.format('query')} AS wanted FROM ({{asked}})),
     ranked AS (SELECT a.system, a.query, d.code, d.display, row_number() OVER (PARTITION BY a.system, a.query ORDER BY len(d.have), d.display, d.code) AS rank
@@ -215,7 +216,7 @@ def _(t):
 @query("select_and_attach", "K7")
 def _(t):
     """Select the first hit of every job, put the codings into the items, and show what was coded."""
-    items = candidate_items(t).where("resource_type IN ('Condition', 'AllergyIntolerance')")
+    items = candidate_items(t)
     jobs = coding.search_jobs(items, F.array(F.lit("snomed"), F.lit("icd10")), F.array().cast("array<string>"), F.lit(False))
     names = jobs.select("system", F.col("term").alias("query"))
     hits = jobs.select("job_id", "system", F.col("term").alias("query")).join(search.lexical_search(names, _terms(t), 10), ["system", "query"])

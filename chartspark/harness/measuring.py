@@ -459,7 +459,7 @@ def _(t):
 
 
 REGISTRY = "SELECT 'rx' AS system, CAST(p_partkey % 1900 AS STRING) AS code, CASE WHEN p_size % 10 = 0 THEN '' ELSE p_brand END AS source_url FROM {part}"
-USED = "SELECT 'rx' AS system, CAST(l_partkey AS STRING) AS code FROM {lineitem} WHERE l_quantity > 40 AND l_discount > 0.05"
+USED = "SELECT 'rx' AS system, CAST(CASE WHEN l_quantity > 40 AND l_discount > 0.05 THEN l_partkey ELSE l_partkey % 97 END AS STRING) AS code FROM {lineitem}"
 
 
 @query("unregistered_codes", "C32", f"SELECT DISTINCT system, code FROM ({USED}) WHERE code NOT IN (SELECT code FROM ({REGISTRY}))")
@@ -478,11 +478,12 @@ def _(t):
 
 @query(
     "dangling_codes", "G6",
-    f"""WITH r AS (SELECT DISTINCT code FROM ({REGISTRY})), u AS (SELECT DISTINCT code FROM ({USED})), f AS (SELECT DISTINCT CAST(l_partkey AS STRING) AS code FROM {{lineitem}} WHERE l_quantity < 3)
+    f"""WITH r AS (SELECT DISTINCT code FROM ({REGISTRY})), u AS (SELECT DISTINCT code FROM ({USED})), f AS (SELECT DISTINCT CAST(CASE WHEN l_quantity < 3 THEN l_partkey ELSE l_partkey % 97 END AS STRING) AS code FROM {{lineitem}})
         SELECT code, 'registry_only' AS kind FROM (SELECT code FROM r EXCEPT SELECT code FROM u EXCEPT SELECT code FROM f) UNION ALL SELECT code, 'fixture_only' FROM (SELECT code FROM f EXCEPT SELECT code FROM u)""",
 )
 def _(t):
-    fixtures = t.lineitem.where("l_quantity < 3").select(F.lit("rx").alias("system"), F.col("l_partkey").cast("string").alias("code")).distinct()
+    code = F.when(F.col("l_quantity") < 3, F.col("l_partkey")).otherwise(F.col("l_partkey") % 97)
+    fixtures = t.lineitem.select(F.lit("rx").alias("system"), code.cast("string").alias("code")).distinct()
     return quality.dangling_codes(t.sql(REGISTRY), t.sql(USED).distinct(), fixtures).select("code", "kind")
 
 
@@ -496,9 +497,10 @@ def _(t):
     return quality.remap_codes(codings, swaps).select("l_orderkey", "l_linenumber", "l_partkey", "code", "swapped")
 
 
-@query("swap_report", "C33", "SELECT p_partkey AS code, count(l_partkey) AS n FROM {part} LEFT JOIN (SELECT * FROM {lineitem} WHERE l_quantity = 50) ON l_partkey = p_partkey WHERE p_size % 5 = 0 GROUP BY p_partkey")
+@query("swap_report", "C33", "SELECT p_partkey AS code, count(c) AS n FROM {part} LEFT JOIN (SELECT CASE WHEN l_quantity = 50 THEN l_partkey ELSE l_partkey % 97 END AS c FROM {lineitem}) ON c = p_partkey WHERE p_size % 5 = 0 GROUP BY p_partkey")
 def _(t):
-    codings = t.lineitem.where("l_quantity = 50").select(F.lit("rx").alias("system"), F.col("l_partkey").alias("code"))
+    code = F.when(F.col("l_quantity") == 50, F.col("l_partkey")).otherwise(F.col("l_partkey") % 97)
+    codings = t.lineitem.select(F.lit("rx").alias("system"), code.alias("code"))
     swaps = t.part.where("p_size % 5 = 0").select(F.lit("rx").alias("system"), F.col("p_partkey").alias("code"))
     return quality.swap_report(codings, swaps).select("code", "n")
 

@@ -56,12 +56,12 @@ def _(t):
 
 @query(
     "guardrail_printable", "B1",
-    "SELECT doc_id AS document_id, CASE WHEN doc_id % 3 = 0 THEN 'non_text' END AS reason FROM {documents} WHERE length(text) BETWEEN 100 AND 2000",
+    "SELECT doc_id AS document_id, CASE WHEN doc_id % 3 = 0 THEN 'non_text' END AS reason FROM {documents}",
 )
 def _(t):
     # A third of the notes get one control character per four characters in front.
-    junk = F.repeat(F.lit("\x01"), F.floor(F.length("text") / 4).cast("int"))
-    notes = _notes(t).where("length(text) BETWEEN 100 AND 2000").withColumn("text", F.when(F.col("document_id") % 3 == 0, F.concat(junk, "text")).otherwise(F.col("text")))
+    junk = F.repeat(F.lit("\x01"), F.ceil(F.length("text") / 4).cast("int"))
+    notes = _notes(t).withColumn("text", F.when(F.col("document_id") % 3 == 0, F.concat(junk, "text")).otherwise(F.col("text")))
     return N.guardrail_check(notes).select("document_id", F.col("reject_reason").alias("reason"))
 
 
