@@ -16,22 +16,30 @@ from chartspark.functions.fhir import view
 
 
 def parse_bundles(files: DataFrame) -> DataFrame:
-    """``value`` (one whole bundle per row) to resource rows in entry order."""
+    """``value`` (one whole bundle per row) to resource rows in entry order.
+
+    ``file_key`` is the given key of the file, or else a hash of its text.  The patient is the last Patient entry of the same row.
+    """
     entries = F.expr("try_variant_get(try_parse_json(value), '$.entry', 'array<variant>')")
-    rows = files.select(F.xxhash64("value").alias("file_key"), F.posexplode(entries).alias("entry_pos", "entry"))
-    typed = rows.select(
+    key = F.col("file_key") if "file_key" in files.columns else F.xxhash64("value")
+    patients = F.expr(
+        "filter(transform(entries, e -> CASE WHEN try_variant_get(e, '$.resource.resourceType', 'string') = 'Patient'"
+        " THEN try_variant_get(e, '$.resource.id', 'string') END), p -> p IS NOT NULL)"
+    )
+    parsed = files.select(key.alias("file_key"), F.inline(F.array(F.struct(entries.alias("entries")))))
+    owned = parsed.select("file_key", F.try_element_at(patients, F.lit(-1)).alias("patient_id"), F.posexplode("entries").alias("entry_pos", "entry"))
+    return owned.select(
         "file_key", "entry_pos",
         F.expr("try_variant_get(entry, '$.fullUrl', 'string')").alias("full_url"),
         F.expr("try_variant_get(entry, '$.resource.resourceType', 'string')").alias("resource_type"),
         F.expr("try_variant_get(entry, '$.resource.id', 'string')").alias("resource_id"),
         F.expr("to_json(variant_get(entry, '$.resource'))").alias("resource"),
-    ).where("resource_type IS NOT NULL")
-    owners = typed.where("resource_type = 'Patient'").groupBy("file_key").agg(F.max_by("resource_id", "entry_pos").alias("patient_id"))
-    return typed.join(owners, "file_key", "left")
+        "patient_id",
+    ).where("resource_type IS NOT NULL")
 
 
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
-    return parse_bundles(spark.read.text(path, wholetext=True))
+    return parse_bundles(spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file_key")))
 
 
 def read_bulk_export(spark: SparkSession, path: str) -> DataFrame:
@@ -47,7 +55,7 @@ def parse_bulk_lines(lines: DataFrame) -> DataFrame:
     owner = F.coalesce(at("$.subject.reference"), at("$.patient.reference"))
     return lines.select(
         F.when(kind == "Patient", at("$.id")).otherwise(F.regexp_extract(owner, r"Patient/([^/]+)", 1)).alias("patient_id"),
-        F.xxhash64("value").alias("entry_pos"),
+        F.monotonically_increasing_id().alias("entry_pos"),  # lines in reading order
         F.lit(None).cast("string").alias("full_url"),
         kind.alias("resource_type"),
         at("$.id").alias("resource_id"),
