@@ -79,7 +79,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
     rows = rows.withColumn("tag", F.xxhash64("text"))
     found = rows.where(F.instr("text", "\n") > 0).select("doc_id", "tag", F.inline(chunks(F.col("text"))))
-    repeated = found.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper")).where("n > 1")
+    # Stored, so that the join below deals out both sides itself and adaptive execution may split a hot chunk.
+    repeated = stored(found.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("keeper")).where("n > 1"), "chunks")
     marks = (
         found.join(repeated.drop("n"), "key")
         .select("doc_id", "tag", F.struct("start", "end", "key", F.col("doc_id").eqNullSafe(F.col("keeper")).alias("kept")).alias("mark"))
