@@ -21,6 +21,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, memory: str = "
         # Small local inputs still keep every core busy: the rule expressions cost more than their bytes.
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
