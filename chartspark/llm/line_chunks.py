@@ -121,13 +121,70 @@ def without_lines(text: Column, cuts: Column) -> Column:
     return F.when(F.size(cuts) > 0, let(lines_of(text), parts)).otherwise(text)
 
 
+def windows(text: Column) -> Column:
+    """Each line that is not blank with the next such line, and what stands between, as ``array<struct<start, end, key>>``."""
+
+    def spans(lines: Column) -> Column:
+        full = F.filter(F.transform(lines, lambda line, i: F.when(line.rlike(r"\S"), i)), lambda i: i.isNotNull())
+
+        def pairs(full: Column) -> Column:
+            firsts = F.slice(full, 1, F.greatest(F.size(full) - 1, F.lit(0)))
+            return F.transform(
+                firsts,
+                lambda i, k: F.struct(
+                    i.alias("start"),
+                    (full[k + 1] + 1).alias("end"),
+                    F.unhex(F.substring(F.sha2(_joined(lines, i, full[k + 1] + 1).cast("binary"), 256), 1, 32)).alias("key"),
+                ),
+            )
+
+        return let(full, pairs)
+
+    return let(lines_of(text), spans)
+
+
+def _merged(cuts: Column) -> Column:
+    """Sorted windows, whose ends are sorted too, as disjoint ranges."""
+    starts = F.filter(cuts, lambda c, j: (j == 0) | (cuts[F.greatest(j - 1, F.lit(0))]["end"] <= c["start"]))
+    last = F.size(cuts) - 1
+    ends = F.filter(cuts, lambda c, j: (j == last) | (cuts[F.least(j + 1, last)]["start"] >= c["end"]))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end")))
+
+
+def removed_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, tag, cuts)``: lines to remove so that of every passage of two or more lines the first place alone stays.
+
+    A repeated passage is a row of repeated windows, so no boundary has to fall into it: every window that stands
+    earlier goes.  Places are ordered by id (null last), hash of the text and line; windows are equal by 128 bits of SHA-256.
+    """
+    rows = docs.select(docs[id_col].cast("long").alias("doc_id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+    rows = rows.withColumn("tag", F.xxhash64("text"))
+    found = rows.where(F.instr("text", "\n") > 0).select("doc_id", "tag", F.inline(windows(F.col("text"))))
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag", "start")
+    found = stored(found.select("key", "end", place.alias("place")), "windows")
+    firsts = found.groupBy("key").agg(F.min("place").alias("first"), F.max("place").alias("last"))
+    # Stored, so that the join below deals out both sides itself and adaptive execution may split a hot window.
+    repeated = stored(firsts.where("first <> last").select("key", "first"), "repeated")
+    later = found.join(repeated, "key").where(~F.col("place").eqNullSafe(F.col("first")))
+    cuts = later.select("place.doc_id", "place.tag", F.struct("place.start", "end").alias("cut")).groupBy("doc_id", "tag")
+    return cuts.agg(F.array_sort(F.collect_set("cut")).alias("cuts")).select("doc_id", "tag", let(F.col("cuts"), _merged).alias("cuts"))
+
+
+def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cuts_col: str | None = None) -> DataFrame:
+    """``docs`` without the lines of ``removed_passages``; every row stays, and so do the other columns."""
+    return _without(docs, removed_passages(docs, id_col, text_col), id_col, text_col, cuts_col)
+
+
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cuts_col: str | None = None) -> DataFrame:
     """``docs`` with the repeated chunks' lines removed from the text; every row stays, and so do the other columns.
 
     A null text stays null; an empty text or one line has no chunk.  A null id comes after all others: its
     chunks stay only where no row with an id has them.  ``cuts_col`` names a column for the removed line ranges.
     """
-    cuts = removed_lines(docs, id_col, text_col)
+    return _without(docs, removed_lines(docs, id_col, text_col), id_col, text_col, cuts_col)
+
+
+def _without(docs: DataFrame, cuts: DataFrame, id_col: str, text_col: str, cuts_col: str | None) -> DataFrame:
     d, c = docs.alias("d"), cuts.alias("c")
     same = F.col(f"d.`{id_col}`").cast("long").eqNullSafe(F.col("c.doc_id")) & (F.xxhash64(F.coalesce(F.col(f"d.`{text_col}`"), F.lit(""))) == F.col("c.tag"))
     none = F.array().cast("array<struct<start:int,end:int>>")

@@ -83,6 +83,39 @@ def test_repeated_chunks_go_but_the_first(docs, doc_rows, no_docs):
     assert line_chunks.dedup_lines(no_docs).count() == 0
 
 
+def slow_passages(rows):
+    """Per row the text without pairs of neighbouring full lines that stand at an earlier place."""
+    order = lambda r: (r[0] is None, r[0] or 0)
+    places, marks = {}, []
+    for r in rows:
+        lines = (r[1] or "").split("\n")
+        full = [i for i, x in enumerate(lines) if x.strip()]
+        marks.append((lines, [(i, j, "\n".join(lines[i : j + 1])) for i, j in zip(full, full[1:])]))
+        for i, _, piece in marks[-1][1]:
+            places.setdefault(piece, set()).add((order(r), r[1], i))
+    for r, (lines, pairs) in zip(rows, marks):
+        gone = {k for i, j, piece in pairs if len(places[piece]) > 1 and min(places[piece]) != (order(r), r[1], i) for k in range(i, j + 1)}
+        yield r[0], None if r[1] is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)
+
+
+def test_repeated_passages_go_whole(spark, docs, no_docs):
+    rng = random.Random(13)
+    word = lambda n: " ".join(prose(rng, "en", 3).replace("\n", " ") + str(rng.random()) for _ in range(n))
+    passages = ["\n".join(word(2) for _ in range(n)) for n in (2, 3, 4, 6, 10, 20)] + ["one\n\n \ntwo\n\nthree", "a\na\na"]
+    rows = []
+    for i in range(60):
+        parts = [rng.choice([word(3), passages[rng.randrange(len(passages))], "common line", "", word(1)]) for _ in range(rng.randint(0, 9))]
+        rows.append((i, "\n".join(parts), None, None, None))
+    rows += [(70, rows[7][1], None, None, None), (71, None, None, None, None), (None, rows[9][1], None, None, None), rows[3], (72, "\n\n\n", None, None, None), (73, "\n\n\n", None, None, None)]
+    found = line_chunks.dedup_passages(spark.createDataFrame(rows, SCHEMA).repartition(3))
+    assert Counter((r["doc_id"], r["text"]) for r in found.collect()) == Counter(slow_passages(rows))
+    for p in passages[:6]:  # every passage stands once, wherever its surroundings end
+        lines = Counter(x for i, t in dict(slow_passages(rows)).items() if i != 70 for x in (t or "").split("\n"))
+        assert all(lines[x] == 1 for x in p.split("\n"))
+    assert line_chunks.dedup_passages(docs).columns == docs.columns and line_chunks.dedup_passages(docs).count() == docs.count()
+    assert line_chunks.dedup_passages(no_docs).count() == 0
+
+
 # Personal data
 
 BASE = {
