@@ -2,12 +2,14 @@
 
 Documents fall into cells of source, language and topic.  Cell token weights are raked until the
 sums over each source, language and topic meet their targets; a document is then kept with
-its cell's calibrated probability.  The corpus is summed once into cells (partial sums before
+its cell's calibrated probability.  A cell that would need more than all of its documents keeps all of them and
+makes up the rest by weight: kept documents weigh what their cell's share asks for, and weighted sums meet the targets.  The corpus is summed once into cells (partial sums before
 the shuffle, so a hot source is no burden); the fitting works on the cells, and no document moves.
 """
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -33,7 +35,7 @@ class Plan:
     """Targets are shares in proportion to (tokens of the value) ** power: 1 keeps a marginal, 0 levels it.
 
     ``keep`` is the share of all tokens to expect in the sample; raking stops when no marginal is off by more
-    than ``tolerance`` of its target, or after ``sweeps``.
+    than ``tolerance`` of its target, or after ``sweeps``, which is warned of.
     """
 
     powers: tuple[float, float, float] = (0.5, 0.7, 1.0)
@@ -97,12 +99,17 @@ def rake(cells: DataFrame, plan: Plan) -> DataFrame:
             now.groupBy(key).agg(F.abs(F.sum("share") / F.first(f"goal_{key}") - 1).alias("off")).agg(F.max("off")).first()[0] for key in KEYS
         )
         if off <= plan.tolerance:
-            break
+            return now
+    warnings.warn(f"raking stopped after {plan.sweeps} sweeps with a marginal off by {off:.3g} of its target", stacklevel=2)
     return now
 
 
 def probabilities(cells: DataFrame, plan: Plan) -> DataFrame:
-    """Adds ``probability`` = min(1, scale x share / actual share), with the scale at which ``keep`` of all tokens is expected."""
+    """Adds ``probability`` = min(1, scale x share / actual share), with the scale at which ``keep`` of all tokens is expected, and ``weight``.
+
+    ``weight`` = share / actual share / probability is one number for all cells whose probability is below 1 and larger
+    in a cell that is kept whole and still too small; expected weighted tokens of a cell are its share of all tokens.
+    """
     total = float(cells.agg(F.sum("tokens")).first()[0])
     ratio = F.col("share") * total / F.col("tokens")
     span = cells.agg(F.min(ratio), F.max(ratio)).first()
@@ -112,30 +119,31 @@ def probabilities(cells: DataFrame, plan: Plan) -> DataFrame:
         sizes = cells.agg(*(F.sum(F.col("tokens") * F.least(F.lit(1.0), ratio * s)).alias(f"k{k}") for k, s in enumerate(scales))).first()
         k = max((k for k in range(65) if sizes[k] <= plan.keep * total), default=0)
         low, high = scales[k], scales[min(k + 1, 64)]
-    return cells.withColumn("probability", F.least(F.lit(1.0), ratio * low))
+    return cells.withColumn("probability", F.least(F.lit(1.0), ratio * low)).withColumn("weight", ratio / F.col("probability"))
 
 
 def fit(found: DataFrame, plan: Plan = Plan()) -> DataFrame:
-    """``(source, lang, topic, tokens, share, probability)`` of every cell with tokens."""
+    """``(source, lang, topic, tokens, share, probability, weight)`` of every cell with tokens."""
     cells = stored(found.groupBy(*KEYS).agg(F.sum("n_tokens").alias("tokens")).where("tokens > 0"), "cells")
     if cells.isEmpty():
-        return cells.withColumn("share", F.lit(0.0)).withColumn("probability", F.lit(0.0))
-    return stored(probabilities(rake(cells, plan), plan).select(*KEYS, "tokens", "share", "probability"), "cells")
+        return cells.withColumns({x: F.lit(0.0) for x in ("share", "probability", "weight")})
+    return stored(probabilities(rake(cells, plan), plan).select(*KEYS, "tokens", "share", "probability", "weight"), "cells")
 
 
 def sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang", plan: Plan = Plan()) -> DataFrame:
     """``(doc_id, source, lang, topic, n_tokens, probability, weight, kept)``: one row per row of ``docs``.
 
-    ``weight`` is 1 / probability for kept rows, else 0: weighted sums over the sample estimate sums over the corpus.
+    ``weight`` is the cell's for kept rows, else 0: weighted token sums over the sample estimate the target shares of all tokens.
+    (Weights of 1 / ``probability`` estimate the corpus as it is.)
     Rows without a word have probability 0 in a cell without tokens and their cell's else.  Null labels are a value
     of their own; repeated rows share one decision; no rows give no rows.
     """
     found = stored(features(docs, id_col, text_col, source_col, lang_col), "features")
-    cells = fit(found, plan).select(*KEYS, "probability")
+    cells = fit(found, plan).select(*KEYS, "probability", "weight")
     joined = found.join(cells, list(KEYS), "left").withColumn("probability", F.coalesce("probability", F.lit(0.0)))
     kept = F.col("draw") < F.col("probability")
     return joined.select(
-        "doc_id", *KEYS, "n_tokens", "probability", F.when(kept, 1 / F.col("probability")).otherwise(F.lit(0.0)).alias("weight"), kept.alias("kept")
+        "doc_id", *KEYS, "n_tokens", "probability", F.when(kept, F.col("weight")).otherwise(F.lit(0.0)).alias("weight"), kept.alias("kept")
     )
 
 
@@ -151,5 +159,5 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     return (
         d.join(c, same)
         .where(draw_of(col(id_col), text, plan.seed) < p)
-        .select(*(col(x) for x in docs.columns), F.col("c.topic").alias(name("topic")), p.alias(name("probability")), (1 / p).alias(name("weight")))
+        .select(*(col(x) for x in docs.columns), F.col("c.topic").alias(name("topic")), p.alias(name("probability")), F.col("c.weight").alias(name("weight")))
     )

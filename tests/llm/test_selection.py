@@ -92,6 +92,38 @@ def test_mixing_meets_its_targets(spark, docs, no_docs):
     assert mixing.sample(no_docs).count() == 0 and mixing.mixed(no_docs).count() == 0
 
 
+def test_weights_meet_the_targets_of_skewed_sources(spark):
+    rng = random.Random(14)
+    sizes = {"hot": 300, "tiny": 2} | {f"s{k}": 35 for k in range(18)}
+    labels = [(s, "fr" if k % 3 == 0 else "en") for s, n in sizes.items() for k in range(n)]
+    labels += [(s, "rare") for s in sizes]
+    rows = [(i, prose(rng, "en", 3 if lang == "rare" else 40), lang, s, 1) for i, (s, lang) in enumerate(labels)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    cells = mixing.fit(mixing.features(table)).collect()
+    assert max(r["probability"] for r in cells) == 1  # some targets are out of reach of the documents there are
+    total = sum(r["tokens"] for r in cells)
+    assert sum(r["probability"] * r["tokens"] for r in cells) == pytest.approx(mixing.Plan.keep * total, rel=1e-3)
+    for key, power in zip(mixing.KEYS, mixing.Plan.powers):
+        have, size = defaultdict(float), defaultdict(float)
+        for r in cells:
+            have[r[key]] += r["probability"] * r["weight"] * r["tokens"] / total
+            size[r[key]] += r["tokens"]
+        scale = sum(v**power for v in size.values())
+        for v in size:
+            assert have[v] == pytest.approx(size[v] ** power / scale, rel=1e-4)
+    weights = {tuple(r[k] for k in mixing.KEYS): r["weight"] for r in cells}
+    found = mixing.sample(table).collect()
+    assert all(r["weight"] == pytest.approx(weights[tuple(r[k] for k in mixing.KEYS)] if r["kept"] else 0) for r in found)
+    kept = {r["doc_id"]: r["weight"] for r in mixing.mixed(table).collect()}
+    assert kept == pytest.approx({r["doc_id"]: r["weight"] for r in found if r["kept"]})
+
+
+def test_raking_says_when_targets_cannot_be_met(spark):
+    rows = [(i, "a few words of prose", "en" if i < 90 else "fr", "s1" if i < 90 else "s2", 1) for i in range(100)]  # each source has a language of its own
+    with pytest.warns(UserWarning, match="marginal off by"):
+        mixing.fit(mixing.features(spark.createDataFrame(rows, SCHEMA)), mixing.Plan(sweeps=6))
+
+
 VECTORS = "vec_id long, embedding array<float>, list string, entry string"
 
 
