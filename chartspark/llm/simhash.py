@@ -148,13 +148,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 
-
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that have the smallest id of their group of near copies, once each, with all columns.
+    """The rows of ``docs`` that have the smallest id of their group of near copies, once each, with all columns."""
+    return least_of_groups(docs, near_copies(docs, id_col, text_col), id_col)
+
+
+def least_of_groups(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` that have the smallest id of their group in ``found`` (doc_id, component_id).
 
     Ids decide, so rows without one cannot be told apart and stay.  Of rows that repeat a surviving id one stays.
     """
-    groups = near_copies(docs, id_col, text_col).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("n"))
+    groups = found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("component_id").alias("least"), F.count("*").alias("n"))
     kept = stored(groups.where("doc_id = least").select("doc_id", "n"), "survivors")
     d, k = docs.alias("d"), kept.alias("k")
     found = d.join(k, F.col(f"d.`{id_col}`").cast("long") == F.col("k.doc_id"))
