@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspark.llm import backoff, decontaminate, language, licenses, line_chunks, mixing, neighbours, personal, repeats, simhash
+from chartspark.llm import backoff, decontaminate, exact, language, licenses, line_chunks, mixing, neighbours, personal, repeats, runs, simhash
 from chartspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -156,3 +156,69 @@ WITH trimmed AS (
 SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_words, round(coalesce(s, 0), 6) AS log_score, round(s / n, 6) AS mean_log
 FROM (SELECT DISTINCT doc_id FROM texts) t LEFT JOIN sums USING (doc_id)
 """
+
+
+@query
+def op13_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """Which documents stay of those with equal texts."""
+    found = exact.classes(table(spark, folder, "documents"))
+    return found.select("doc_id", "keep_id", "group_size", "kept", F.col("sha").alias("text_sha256"))
+
+
+ORACLE["op13_exact"] = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
+       row_number() OVER (PARTITION BY body ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(body) AS text_sha256
+FROM (SELECT doc_id, coalesce(text, '') AS body FROM documents) WINDOW w AS (PARTITION BY body)
+"""
+
+
+#: CRC-32 of a list of bytes, spelt out bit by bit.
+CRC = """xor(4294967295, list_reduce(list_concat([4294967295], {bytes}), lambda c, b:
+    list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, y:
+      CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)))"""
+
+
+@query
+def op12_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of every document, and its digest without them."""
+    found = runs.collapse(table(spark, folder, "documents"), texts=False, seed_runs=True)
+    return found.drop("runs", "collapsed")
+
+
+ORACLE["op12_runs"] = f"""
+WITH trimmed AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g') AS text FROM documents
+), texts AS (
+  SELECT doc_id, CASE WHEN text = '' THEN [] ELSE regexp_split_to_array(text, '[\\x20\\x09-\\x0D]+') END AS words,
+    {CRC.format(bytes="list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)")} AS h FROM trimmed
+), numbers AS (
+  SELECT doc_id, words, len(words) AS n, h, CASE WHEN len(words) > 0 THEN (h // 10) % len(words) END AS a FROM texts
+), tails AS (
+  SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM numbers
+), placed AS (
+  SELECT doc_id, n, i, words[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM tails)
+), pairs AS (
+  SELECT x.doc_id, x.i, y.i - x.i AS q FROM placed x JOIN placed y
+    ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), islands AS (
+  SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM pairs
+), periodic AS (
+  SELECT doc_id, min(i) AS start, count(*) + q AS length, q FROM islands GROUP BY doc_id, q, island
+  HAVING count(*) + q >= greatest(6, 4 * q)
+), runs AS (
+  SELECT * FROM periodic r WHERE NOT EXISTS (SELECT 1 FROM periodic s WHERE s.doc_id = r.doc_id AND s.q < r.q
+    AND r.q % s.q = 0 AND s.start <= r.start AND s.start + s.length >= r.start + r.length)
+), best AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length::HUGEINT * 1000000000000000 // q DESC, start, q) AS place FROM runs
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || q || chr(10), '' ORDER BY start, q) AS told FROM runs GROUP BY doc_id
+), dropped AS (
+  SELECT DISTINCT p.doc_id, p.i FROM placed p JOIN runs r ON r.doc_id = p.doc_id AND p.i >= r.start + r.q AND p.i < r.start + r.length
+), collapsed AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM placed ANTI JOIN dropped USING (doc_id, i) GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(l.n_runs, 0)::BIGINT AS n_runs, b.start::BIGINT AS start, b.length::BIGINT AS length, b.q::BIGINT AS period,
+       (1000 * b.length // b.q)::BIGINT AS exponent_milli, sha256(coalesce(l.told, '')) AS runs_sha256, sha256(coalesce(c.kept, '')) AS collapsed_sha256
+FROM texts d LEFT JOIN listed l USING (doc_id) LEFT JOIN (SELECT * FROM best WHERE place = 1) b USING (doc_id) LEFT JOIN collapsed c USING (doc_id)
+"""
