@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chartspark.llm import backoff, decontaminate, exact, language, licenses, line_chunks, mixing, neighbours, personal, repeats, runs, simhash
+from chartspark.llm import backoff, decontaminate, exact, language, licenses, line_chunks, mixing, neighbours, personal, repeats, runs, simhash, spelling
 from chartspark.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -222,3 +222,47 @@ SELECT d.doc_id, coalesce(l.n_runs, 0)::BIGINT AS n_runs, b.start::BIGINT AS sta
        (1000 * b.length // b.q)::BIGINT AS exponent_milli, sha256(coalesce(l.told, '')) AS runs_sha256, sha256(coalesce(c.kept, '')) AS collapsed_sha256
 FROM texts d LEFT JOIN listed l USING (doc_id) LEFT JOIN (SELECT * FROM best WHERE place = 1) b USING (doc_id) LEFT JOIN collapsed c USING (doc_id)
 """
+
+
+@query
+def op11_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    found = spelling.variants(table(spark, folder, "documents"), damage=True)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+ORACLE["op11_spelling"] = f"""
+WITH RECURSIVE found AS (
+  SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents WHERE text IS NOT NULL
+), counted AS (
+  SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM found GROUP BY ALL
+), bytes AS (
+  SELECT *, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM counted
+), marked AS (
+  SELECT doc_id, run, n, CASE WHEN doc_id IS NULL THEN 1 ELSE
+    {CRC.format(bytes="list_transform(range(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::BIGINT)")} END AS h FROM bytes
+), words AS (
+  SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM marked
+), vocabulary AS (
+  SELECT word, sum(n)::BIGINT AS n FROM words WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3
+), cut AS (
+  SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM vocabulary)
+), paired AS (
+  SELECT DISTINCT a.word, a.n, b.word AS near, b.n AS near_n FROM cut a JOIN cut b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+  UNION SELECT DISTINCT a.word, a.n, b.word, b.n FROM cut a JOIN vocabulary b ON a.rest = b.word
+  UNION SELECT DISTINCT b.word, b.n, a.word, a.n FROM cut a JOIN vocabulary b ON a.rest = b.word
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place, count(*) OVER (PARTITION BY word) AS n_near FROM paired
+), formed AS (
+  SELECT v.word, v.n, coalesce(r.n_near, 0)::BIGINT AS n_near, CASE WHEN r.near_n >= 2 * v.n THEN r.near END AS form,
+         CASE WHEN r.near_n >= 2 * v.n THEN r.near_n END AS form_n
+  FROM vocabulary v LEFT JOIN ranked r ON r.word = v.word AND r.place = 1
+), followed AS (
+  SELECT word, word AS root FROM formed
+  UNION ALL
+  SELECT f.word, g.form FROM followed f JOIN formed g ON g.word = f.root WHERE g.form IS NOT NULL
+), roots AS (
+  SELECT f.word, f.root FROM followed f JOIN formed g ON g.word = f.root WHERE g.form IS NULL
+)
+SELECT f.word, f.form, r.root, f.n, f.n_near, f.form_n FROM formed f JOIN roots r ON r.word = f.word
+"""
