@@ -177,7 +177,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chu
     key = ["fp", "n_bytes"]
     # Rows of one id, tag and fingerprint are one node: they could differ only by colliding in both at once under one id.
     nodes = stored(marked.groupBy(*key, "doc_id", "tag").agg(F.count("*").alias("n"), F.first("sha").alias("sha")), "nodes")
-    groups = nodes.groupBy(*key).agg(F.count("*").alias("nodes")).where("nodes > 1").drop("nodes")
+    # Stored, here and below, so that the join deals out both sides itself and adaptive execution may split a hot group.
+    groups = stored(nodes.groupBy(*key).agg(F.count("*").alias("nodes")).where("nodes > 1").drop("nodes"), "groups")
     left = stored(nodes.drop("sha").join(groups, key), "repeated")
     settled = None
     if not left.isEmpty():
@@ -201,7 +202,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chu
     if settled is None:
         sized = nodes.withColumn("group_size", F.col("n")).withColumn("keep_id", F.col("doc_id"))
     else:
-        totals = settled.groupBy(*key, "round").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size"))
+        totals = stored(settled.groupBy(*key, "round").agg(F.max("doc_id").alias("keep_id"), F.sum("n").alias("group_size")), "totals")
         # All members of a class have one text; the node of largest id is known, other nodes with that id had other texts.
         placed = settled.join(totals, [*key, "round"]).select(*key, "doc_id", "tag", "keep_id", "group_size")
         s, p = nodes.alias("s"), placed.alias("p")
