@@ -10,7 +10,7 @@ from chartspark.harness import sqltext as S
 from chartspark.harness.expressions import PARTS, SQUEEZED, _concept_case, _tnm_sql, from_parts, parts
 from chartspark.harness.registry import query
 from chartspark.harness.tables import CANDIDATES, candidate_items
-from chartspark.operators import coding, search
+from chartspark.operators import coding, search, vectors
 from chartspark.schemas import make_item
 from chartspark.sources import catalog, terminology
 
@@ -278,3 +278,22 @@ def _(t):
 
 
 __all__ = ["make_item"]
+
+
+# -- vectors: every embedding is a term's vector, and a variant of a job of four ----------------------------------------
+
+VECTORS = """SELECT CAST(label % 3 AS STRING) AS system, concat('c', CAST(vec_id % 200 AS STRING)) AS code, concat('term ', CAST(vec_id AS STRING)) AS display,
+       embedding AS vector, CAST(floor(vec_id / 4) AS BIGINT) AS job_id, vec_id % 4 AS query_pos FROM {embeddings}"""
+
+
+@query(
+    "vector_search", "C21",
+    f"""WITH v AS ({VECTORS}), u AS (SELECT *, vector::DOUBLE[] AS x, sqrt(list_inner_product(vector::DOUBLE[], vector::DOUBLE[])) AS size FROM v),
+        scored AS (SELECT q.job_id, q.system, q.query_pos, t.code, t.display, round(list_inner_product(q.x, t.x) / (q.size * t.size), 6) AS score FROM u q JOIN u t ON q.system = t.system),
+        hits AS (SELECT *, row_number() OVER (PARTITION BY job_id, system, query_pos ORDER BY score DESC, code, display) AS place FROM scored QUALIFY place <= 5),
+        codes AS (SELECT job_id, system, code, first(display ORDER BY score DESC, query_pos, place) AS display, max(score) AS score, min(query_pos * 10 + place) AS hit FROM hits GROUP BY ALL)
+        SELECT job_id, system, code, display, score, row_number() OVER (PARTITION BY job_id, system ORDER BY score DESC, hit, code) AS rank FROM codes QUALIFY rank <= 10""",
+)
+def _(t):
+    rows = t.sql(VECTORS)
+    return vectors.vector_search(rows.select("job_id", "system", "query_pos", "vector"), rows.select("system", "code", "display", "vector"))

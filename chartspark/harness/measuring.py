@@ -370,14 +370,34 @@ def _(t):
     return _rounded(evaluate.trap_rejection(judged), "mean", "min", "max")
 
 
-@query("map_facts", "C29")
+MAPPED = f"""SELECT l_orderkey AS note, (l_linenumber * 1000000 + l_partkey) * 10000 + l_suppkey AS pos, l_returnflag AS flag,
+        CAST(l_partkey % 1500 AS BIGINT) AS start, CAST(l_partkey % 1500 + l_quantity * 7 AS BIGINT) AS stop, CAST(p_partkey % 9 AS STRING) AS code,
+        concat(p_name, ' ', p_size, ' mg') AS display FROM {{lineitem}} JOIN {{part}} ON l_partkey = p_partkey"""
+#: The three walks, candidate by candidate: a row for each step, whose state is the facts taken so far.
+WALK = """WITH RECURSIVE r AS ({rows}), c AS (SELECT DISTINCT note, pos FROM r WHERE flag = 'A'),
+    hits AS (SELECT a.note, a.pos AS cand, min(b.pos) AS fact FROM r a JOIN r b ON a.note = b.note AND a.code = b.code AND a.flag = 'A' AND b.flag = 'R' GROUP BY ALL),
+    p1 AS (SELECT note, fact, min(cand) AS cand FROM hits GROUP BY ALL),
+    e2 AS (SELECT DISTINCT a.note, a.pos AS cand, b.pos AS fact FROM r a JOIN r b ON a.note = b.note AND a.flag = 'A' AND b.flag = 'R' AND {ingredient_a} = {ingredient_b} AND {ingredient_a} <> ''
+        WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.note = a.note AND h.cand = a.pos) AND NOT EXISTS (SELECT 1 FROM p1 WHERE p1.note = b.note AND p1.fact = b.pos)),
+    l2 AS (SELECT note, cand, list(fact ORDER BY fact) AS facts, row_number() OVER (PARTITION BY note ORDER BY cand) AS k FROM e2 GROUP BY note, cand),
+    w2 AS (SELECT note, 0::BIGINT AS k, NULL::BIGINT AS cand, NULL::BIGINT AS fact, []::BIGINT[] AS taken FROM l2 WHERE k = 1
+        UNION ALL SELECT note, k, cand, fact, CASE WHEN fact IS NULL THEN taken ELSE list_append(taken, fact) END
+        FROM (SELECT l2.note, l2.k, l2.cand, w2.taken, list_filter(l2.facts, lambda f: NOT list_contains(w2.taken, f))[1] AS fact FROM w2 JOIN l2 ON l2.note = w2.note AND l2.k = w2.k + 1)),
+    p2 AS (SELECT note, fact, cand FROM w2 WHERE fact IS NOT NULL),
+    e3 AS (SELECT DISTINCT a.note, a.pos AS cand, b.pos AS fact FROM r a JOIN r b ON a.note = b.note AND a.flag = 'A' AND b.flag = 'R' AND a.stop > b.start AND b.stop > a.start
+        WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.note = a.note AND h.cand = a.pos) AND NOT EXISTS (SELECT 1 FROM p2 WHERE p2.note = a.note AND p2.cand = a.pos)
+          AND NOT EXISTS (SELECT 1 FROM p1 WHERE p1.note = b.note AND p1.fact = b.pos) AND NOT EXISTS (SELECT 1 FROM p2 WHERE p2.note = b.note AND p2.fact = b.pos)),
+    l3 AS (SELECT note, cand, list(fact ORDER BY fact) AS facts, row_number() OVER (PARTITION BY note ORDER BY cand) AS k FROM e3 GROUP BY note, cand),
+    w3 AS (SELECT note, 0::BIGINT AS k, NULL::BIGINT AS cand, NULL::BIGINT AS fact, []::BIGINT[] AS taken FROM l3 WHERE k = 1
+        UNION ALL SELECT note, k, cand, fact, CASE WHEN fact IS NULL THEN taken ELSE list_append(taken, fact) END
+        FROM (SELECT l3.note, l3.k, l3.cand, w3.taken, list_filter(l3.facts, lambda f: NOT list_contains(w3.taken, f))[1] AS fact FROM w3 JOIN l3 ON l3.note = w3.note AND l3.k = w3.k + 1))
+    SELECT note, fact AS fact_pos, cand AS cand_pos, 1 AS pass_no FROM p1 UNION ALL SELECT note, fact, cand, 2 FROM p2 UNION ALL SELECT note, fact, cand, 3 FROM w3 WHERE fact IS NOT NULL"""
+
+
+@query("map_facts", "C29 M3", WALK.format(rows=MAPPED, ingredient_a=S.normalize_ingredient("a.display"), ingredient_b=S.normalize_ingredient("b.display")))
 def _(t):
     """Lines of an order: flag A are candidates, R are labelled facts."""
-    lines = t.sql(SPARK_SPANS).join(t.part, F.split("span_id", "-")[1].cast("bigint") == F.col("p_partkey"))
-    rows = lines.select(
-        "note", F.xxhash64("span_id").alias("pos"), "flag", "start", "end", F.lit("rx").alias("system"), (F.col("p_partkey") % 50).cast("string").alias("code"),
-        F.concat("p_name", F.lit(" "), "p_size", F.lit(" mg")).alias("display"),
-    )
+    rows = t.sql(MAPPED).withColumn("end", F.col("stop")).withColumn("system", F.lit("rx"))
     c = rows.where("flag = 'A'").withColumnRenamed("pos", "cand_pos").withColumn("resource_type", F.lit("MedicationRequest"))
     f = rows.where("flag = 'R'").withColumnRenamed("pos", "fact_pos").withColumn("category", F.lit("medication_request"))
     return evaluate.map_facts(c, f, c.select("note", "cand_pos", "start", "end"), f.select("note", "fact_pos", "start", "end"))

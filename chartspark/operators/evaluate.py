@@ -6,14 +6,13 @@ provenance_count``.  Runs are a column, not a loop.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chartspark import vocab as V
 from chartspark.functions import text as T
-from chartspark.operators.spans import overlapping
-from chartspark.session import cut_lineage
-
 
 
 def _hit() -> Column:
@@ -199,27 +198,35 @@ def selection_accuracy(expected: DataFrame, chosen: DataFrame) -> DataFrame:
 # -- mapping candidates to labelled facts -----------------------------------------------------
 
 
+def _taken_first(choices: Column, taken: Column) -> Column:
+    """The first of ``choices`` that is not ``taken``, or null."""
+    return F.get(F.filter(choices, lambda f: ~F.array_contains(taken, f)), 0)
+
+
 def greedy_pairs(edges: DataFrame, keys: list[str]) -> DataFrame:
     """In reading order each candidate takes its first fact that is still free.
 
-    ``edges``: ``keys + (cand_pos, fact_pos)``.  A pair is settled when the fact is the
-    candidate's first choice and the candidate is the fact's first taker; settled pairs leave
-    and the rest repeats.  That gives the same pairs as walking the candidates one by one,
-    with all notes, and all independent parts of one note, in parallel.
+    ``edges``: ``keys + (cand_pos, fact_pos)``.  One fold over the sorted candidates of a group, whose state is the facts taken
+    so far.  A group's edges must fit a task; groups are independent and need one exchange.
     """
-    left = cut_lineage(edges.select(*keys, "cand_pos", "fact_pos").distinct())
-    settled = None
-    while not left.isEmpty():
-        first_fact = left.groupBy(*keys, "cand_pos").agg(F.min("fact_pos").alias("fact_pos"))
-        first_cand = left.groupBy(*keys, "fact_pos").agg(F.min("cand_pos").alias("cand_pos"))
-        pairs = cut_lineage(first_fact.join(first_cand, [*keys, "cand_pos", "fact_pos"]))
-        settled = pairs if settled is None else settled.unionByName(pairs)
-        left = cut_lineage(
-            left.join(pairs.select(*keys, "cand_pos"), [*keys, "cand_pos"], "left_anti").join(
-                pairs.select(*keys, "fact_pos"), [*keys, "fact_pos"], "left_anti"
-            )
+    kind = edges.schema["fact_pos"].dataType.simpleString()
+    own = edges.schema["cand_pos"].dataType.simpleString()
+    choices = edges.repartition(*keys).groupBy(*keys, "cand_pos").agg(F.sort_array(F.collect_set("fact_pos")).alias("facts"))
+    groups = choices.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("cand_pos", "facts"))).alias("cands"))
+    start = F.struct(F.array().cast(f"array<{kind}>").alias("taken"), F.array().cast(f"array<struct<cand_pos:{own},fact_pos:{kind}>>").alias("pairs"))
+
+    def step(state: Column, cand: Column) -> Column:
+        return T.let(
+            _taken_first(cand["facts"], state["taken"]),
+            lambda fact: F.when(fact.isNull(), state).otherwise(
+                F.struct(
+                    F.array_append(state["taken"], fact).alias("taken"),
+                    F.array_append(state["pairs"], F.struct(cand["cand_pos"].alias("cand_pos"), fact.alias("fact_pos"))).alias("pairs"),
+                )
+            ),
         )
-    return left if settled is None else settled
+
+    return groups.select(*keys, F.inline(F.aggregate("cands", start, step, lambda s: s["pairs"])))
 
 
 def map_facts(cand_codes: DataFrame, fact_codes: DataFrame, cand_spans: DataFrame, fact_spans: DataFrame) -> DataFrame:
@@ -227,29 +234,64 @@ def map_facts(cand_codes: DataFrame, fact_codes: DataFrame, cand_spans: DataFram
 
     ``cand_codes``: ``note, cand_pos, resource_type, system, code, display``;
     ``fact_codes``: ``note, fact_pos, category, system, code, display``;
-    spans: ``note, cand_pos|fact_pos, start, end``.
+    spans: ``note, cand_pos|fact_pos, start, end``; positions are longs.
     Returns ``note, fact_pos, cand_pos, pass_no``: the candidate each fact is judged by.
+
+    In the first pass a candidate takes its first fact that shares a code, and the first candidate of a fact judges it; a
+    candidate that met any fact is done.  In the others it takes its first fact that is still free.  All rows of a note meet once,
+    in one exchange, and the passes are folds over its sorted candidates; a note's candidates and facts must fit a task.
     """
-    coded = (
-        cand_codes.join(fact_codes.select("note", "fact_pos", "system", "code"), ["note", "system", "code"])
-        .groupBy("note", "cand_pos").agg(F.min("fact_pos").alias("fact_pos"))
+    code = F.when(F.col("code").isNotNull(), F.to_json(F.array("system", "code")))
+    ingredient = F.nullif(T.normalize_ingredient(F.coalesce("display", F.lit(""))), F.lit(""))
+    none, nowhere = F.lit(None).cast("string"), F.lit(None).cast("struct<start:bigint,end:bigint>")
+    span = F.struct(F.col("start").cast("bigint").alias("start"), F.col("end").cast("bigint").alias("end"))
+
+    def side(codes: DataFrame, spans: DataFrame, pos: str, drug: Column, n: int) -> DataFrame:
+        at = ["note", F.lit(n).alias("side"), F.col(pos).cast("bigint").alias("pos")]
+        return codes.select(*at, code.alias("code"), F.when(drug, ingredient).alias("ingredient"), nowhere.alias("span")).unionByName(
+            spans.select(*at, none.alias("code"), none.alias("ingredient"), F.when(F.col("start").isNotNull() & F.col("end").isNotNull(), span).alias("span"))
+        )
+
+    rows = side(cand_codes, cand_spans, "cand_pos", F.col("resource_type") == "MedicationRequest", 0).unionByName(
+        side(fact_codes, fact_spans, "fact_pos", F.col("category") == "medication_request", 1)
+    )
+    each = rows.repartition("note").groupBy("note", "side", "pos").agg(
+        F.collect_set("code").alias("codes"), F.collect_set("ingredient").alias("ingredients"), F.collect_set("span").alias("spans")
     )
-    first = cut_lineage(
-        coded.groupBy("note", "fact_pos").agg(F.min("cand_pos").alias("cand_pos")).withColumn("pass_no", F.lit(1))
+    entry = F.struct("pos", "codes", "ingredients", "spans")
+    notes = each.groupBy("note").agg(
+        F.array_sort(F.collect_list(F.when(F.col("side") == 0, entry)), lambda a, b: F.when(a["pos"] < b["pos"], -1).otherwise(1)).alias("cands"),
+        F.array_sort(F.collect_list(F.when(F.col("side") == 1, entry)), lambda a, b: F.when(a["pos"] < b["pos"], -1).otherwise(1)).alias("facts"),
     )
-    used = cut_lineage(coded.select("note", "cand_pos"))
+    pair = "struct<fact_pos:bigint,cand_pos:bigint,pass_no:int>"
+    start = F.struct(F.array().cast(f"array<{pair}>").alias("pairs"), F.array().cast("array<bigint>").alias("used"))
+
+    def overlaps(c: Column, f: Column) -> Column:
+        return F.exists(c["spans"], lambda x: F.exists(f["spans"], lambda y: (x["end"] > y["start"]) & (y["end"] > x["start"])))
+
+    def run(state: Column, number: int, meets: Callable[[Column, Column], Column]) -> Column:
+        """One pass over the candidates; in the first one a fact that is taken still settles the candidate."""
 
-    def ingredient(df):
-        return df.withColumn("ingredient", T.normalize_ingredient(F.coalesce("display", F.lit("")))).where(F.col("ingredient") != "")
+        def step(s: Column, c: Column) -> Column:
+            free = lambda f: ~F.exists(s["pairs"], lambda p: p["fact_pos"] == f["pos"])
+            open_ = F.filter("facts", lambda f: meets(c, f) if number == 1 else meets(c, f) & free(f))
 
-    drugs = ingredient(cand_codes.where(F.col("resource_type") == "MedicationRequest")).join(used, ["note", "cand_pos"], "left_anti")
-    wanted = ingredient(fact_codes.where(F.col("category") == "medication_request")).join(first, ["note", "fact_pos"], "left_anti")
-    edges = drugs.join(wanted.select("note", "fact_pos", "ingredient"), ["note", "ingredient"])
-    second = greedy_pairs(edges, ["note"]).withColumn("pass_no", F.lit(2)).select("note", "fact_pos", "cand_pos", "pass_no")
+            def taken(f: Column) -> Column:
+                new = F.struct(f["pos"].alias("fact_pos"), c["pos"].alias("cand_pos"), F.lit(number).alias("pass_no"))
+                pairs = F.when(free(f), F.array_append(s["pairs"], new)).otherwise(s["pairs"])
+                return F.struct(pairs.alias("pairs"), F.array_append(s["used"], c["pos"]).alias("used"))
 
-    taken = first.unionByName(second)
-    used = used.unionByName(second.select("note", "cand_pos"))
-    free_spans = fact_spans.join(taken, ["note", "fact_pos"], "left_anti").withColumnsRenamed({"start": "r_start", "end": "r_end"})
-    edges = overlapping(cand_spans.join(used, ["note", "cand_pos"], "left_anti"), free_spans, ["note"])
-    third = greedy_pairs(edges, ["note"]).withColumn("pass_no", F.lit(3)).select("note", "fact_pos", "cand_pos", "pass_no")
-    return taken.unionByName(third)
+            return T.let(F.get(open_, 0), lambda f: F.when(f.isNull() | F.array_contains(s["used"], c["pos"]), s).otherwise(taken(f)))
+
+        return F.aggregate("cands", state, step)
+
+    passes = (
+        (1, lambda c, f: F.arrays_overlap(c["codes"], f["codes"])),
+        (2, lambda c, f: F.arrays_overlap(c["ingredients"], f["ingredients"])),
+        (3, overlaps),
+    )
+    state = start
+    for number, meets in passes:
+        notes = notes.withColumn("state", run(state, number, meets))
+        state = F.col("state")
+    return notes.select("note", F.inline("state.pairs")).select("note", "fact_pos", "cand_pos", "pass_no")
