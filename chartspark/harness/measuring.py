@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from chartspark import vocab as V
 from chartspark.functions.clinical import text_coding
 from chartspark.harness import sqltext as S
-from chartspark.harness.registry import query
+from chartspark.harness.registry import query, with_json
 from chartspark.harness.tables import CANDIDATES, CHART, candidate_items, chart_facts
 from chartspark.operators import evaluate, ledger, quality, spans
 from chartspark.sources import usage
@@ -614,9 +614,27 @@ def _(t):
     return quality.unresolved_references(_entries(t))
 
 
-@query("bundle_profile", "D32", f"SELECT bundle_id, count(*) AS n_entries, count(*) AS n_references, count(*) AS n_systems FROM ({ENTRIES}) GROUP BY bundle_id")
+#: Nested codings, a decoy of one in a text, and an identifier, which has a system and no code.
+PROFILED = """SELECT c.c_nationkey AS bundle_id, o.o_orderkey AS entry_pos, concat('{"resourceType": "', CASE o.o_orderstatus WHEN 'F' THEN 'Condition' WHEN 'O' THEN 'Observation' ELSE 'Procedure' END,
+    '", "subject": {"reference": "urn:uuid:', o.o_custkey % 60, '"}, "identifier": [{"system": "urn:only", "value": "1"}], "code": {"text": "a \\"system\\": \\"b\\" here", "coding": [',
+    CASE o.o_orderkey % 3 WHEN 0 THEN '' WHEN 1 THEN '{"system": "urn:one", "code": "1"}' ELSE concat('{"system": "urn:one", "code": "1"}, {"code": "2", "system": "urn:c', o.o_orderkey % 4, '"}') END,
+    ']}, "note": [{"authorReference": {"reference": "Practitioner/', o.o_custkey % 7, '"}, "text": "x"}]}') AS resource
+    FROM {orders} o JOIN {customer} c ON c.c_custkey = o.o_custkey"""
+
+
+@query(
+    "bundle_profile", "D32",
+    """WITH e AS (SELECT c.c_nationkey AS bundle_id, o.o_orderkey AS k, o.o_custkey AS cust, CASE o.o_orderstatus WHEN 'F' THEN 'Condition' WHEN 'O' THEN 'Observation' ELSE 'Procedure' END AS type
+        FROM {orders} o JOIN {customer} c ON c.c_custkey = o.o_custkey),
+        types AS (SELECT bundle_id, string_agg(type || '=' || n, ',' ORDER BY type) AS types FROM (SELECT bundle_id, type, count(*) AS n FROM e GROUP BY ALL) GROUP BY bundle_id),
+        systems AS (SELECT bundle_id, string_agg(s, ',' ORDER BY s) AS systems FROM (SELECT bundle_id, 'urn:one' AS s FROM e WHERE k % 3 > 0 UNION SELECT bundle_id, 'urn:c' || k % 4 FROM e WHERE k % 3 = 2) GROUP BY bundle_id)
+        SELECT bundle_id, count(*) AS n_entries, count(DISTINCT cust % 60) + count(DISTINCT cust % 7) AS n_targets, sum(k % 3)::BIGINT AS n_codings, coalesce(any_value(systems), '') AS systems, any_value(types) AS types
+        FROM e JOIN types USING (bundle_id) LEFT JOIN systems USING (bundle_id) GROUP BY bundle_id""",
+)
 def _(t):
-    return quality.bundle_profile(_entries(t)).drop("resource_type")
+    found = quality.bundle_profile(t.sql(with_json(PROFILED)))
+    told = F.array_join(F.transform("types", lambda x: F.concat(x["type"], F.lit("="), x["n"])), ",")
+    return found.withColumns({"systems": F.array_join("systems", ","), "types": told})
 
 
 @query(

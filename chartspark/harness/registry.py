@@ -76,6 +76,14 @@ def query(name: str, ids: str, sql: str | None = None):
     return wrap
 
 
+def with_json(text: str) -> str:
+    """Portable SQL whose texts hold JSON: braces that name no table are doubled, and backslashes, which Spark reads as escapes."""
+    text = text.replace("\\", "\\\\").replace("{", "{{").replace("}", "}}")
+    for table in TABLES:
+        text = text.replace("{{" + table + "}}", "{" + table + "}")
+    return text
+
+
 def for_duckdb(text: str) -> str:
     """Placeholders become the registered view names."""
     for table in TABLES:

@@ -9,9 +9,9 @@ from chartspark.functions import clinical as C
 from chartspark.functions import text as T
 from chartspark.functions.fhir import display_label, summary_rows, view
 from chartspark.harness import sqltext as S
-from chartspark.harness.registry import query
+from chartspark.harness.registry import query, with_json
 from chartspark.harness.tables import CANDIDATES, candidate_items
-from chartspark.operators import assembly, builders, conformance
+from chartspark.operators import assembly, builders, conformance, structure
 
 _K = "CAST(split_part(cand_id, '-', 4) AS BIGINT)"
 CLASS = f"CASE {_K} % 4 WHEN 0 THEN 'NEW' WHEN 1 THEN 'DUPLICATE' WHEN 2 THEN 'UPDATING' ELSE 'CONFLICTING' END"
@@ -325,6 +325,49 @@ def _(t):
     return _assessed(t).select("id", F.explode(conformance.structure_issues(F.col("resource"))).alias("i")).select("id", "i.path")
 
 
+# One fault a resource, by the part's number, put in front of what the builders wrote; every fifth also has its subject under a wrong name.
+_FAULTS = {
+    0: ('"colour":"red",', (("colour", "unknown element"),)),
+    1: ('"extension":[{"url":"x","valueString":"a","shade":1}],', (("extension.0.shade", "unknown element"),)),
+    2: ('"id":5,', (("id", "must be a string"),)),
+    3: ('"extension":{"url":"x"},', (("extension", "must be a list"),)),
+    4: ('"implicitRules":["x"],', (("implicitRules", "must be a single value"),)),
+    5: ('"text":{"status":"generated"},', (("text.div", "required element is missing"),)),
+    6: (
+        '"language":"en  gb","modifierExtension":[{"url":"x","valueString":"a","valueInteger":1.5}],',
+        (("language", "is not a valid code"), ("modifierExtension.0.valueInteger", "is not a valid integer"), ("modifierExtension.0.valueString or valueInteger", "only one of these may be there")),
+    ),
+}
+_SIGNED = """SELECT concat('p', o_orderkey) AS id, concat('{"resourceType":"Provenance","target":[{"reference":"Condition/', o_orderkey, '"}],"recorded":"2001-02-03', CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE 'T04:05:06Z' END,
+    '","agent":[{"who":{"reference":"Practitioner/1"}}],"entity":[{"role":"source"', CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE ',"what":{"reference":"DocumentReference/1"}' END, '}]}') AS resource FROM {orders}
+    UNION ALL SELECT concat('d', o_orderkey), concat('{"resourceType":"DocumentReference","status":"current","content":[{"attachment":{"contentType":"text/plain","data":"', CASE WHEN o_orderkey % 5 = 0 THEN '#' ELSE 'YQ==' END,
+    '","size":', CASE WHEN o_orderkey % 2 = 0 THEN '"1"' ELSE '1' END, '}}]}') FROM {orders}"""
+_FAULT_ROWS = " UNION ALL ".join(
+    f"SELECT cand_id AS id, '{path}' AS path, '{message}' AS message FROM c WHERE k % 7 = {n}" for n, (_, issues) in _FAULTS.items() for path, message in issues
+)
+
+
+@query(
+    "validate_r4", "J1",
+    f"""WITH c AS (SELECT *, {_K} AS k FROM ({CANDIDATES})) {_FAULT_ROWS}
+        UNION ALL SELECT cand_id, CASE WHEN resource_type IN ('AllergyIntolerance', 'FamilyMemberHistory') THEN 'patient' ELSE 'subject' END, 'required element is missing' FROM c WHERE k % 5 = 0 AND resource_type <> 'Observation'
+        UNION ALL SELECT cand_id, 'person', 'unknown element' FROM c WHERE k % 5 = 0
+        UNION ALL SELECT cand_id, 'medicationCodeableConcept.coding.0.display', 'is not a valid string' FROM c WHERE display0 = '' AND NOT uncoded
+        UNION ALL SELECT 'p' || o_orderkey, 'recorded', 'is not a valid instant' FROM {{orders}} WHERE o_orderkey % 3 = 0
+        UNION ALL SELECT 'p' || o_orderkey, 'entity.0.what', 'required element is missing' FROM {{orders}} WHERE o_orderkey % 4 = 0
+        UNION ALL SELECT 'd' || o_orderkey, 'content.0.attachment.data', 'is not a valid base64Binary' FROM {{orders}} WHERE o_orderkey % 5 = 0
+        UNION ALL SELECT 'd' || o_orderkey, 'content.0.attachment.size', 'must be a number' FROM {{orders}} WHERE o_orderkey % 2 = 0""",
+)
+def _(t):
+    """All resources that the builders make of the candidates, with faults, and two kinds of records that go along."""
+    fault = F.lit("")
+    for n, (text, _) in _FAULTS.items():
+        fault = F.when(F.expr(f"{_K} % 7 = {n}"), text).otherwise(fault)
+    named = F.when(F.expr(f"{_K} % 5 = 0"), F.regexp_replace("resource", r'"(subject|patient)":', '"person":')).otherwise(F.col("resource"))
+    broken = _resources(t).select(F.col("cand_id").alias("id"), F.concat(F.lit("{"), fault, F.substr(named, F.lit(2))).alias("resource"))
+    return structure.validate_r4(broken.unionByName(t.sql(with_json(_SIGNED))))
+
+
 _PIN_BAD = f"NOT uncoded AND NOT ({_CODE3} BETWEEN 1000001 AND 1000299 AND {_CODE3} % 2 = 1)"
 
 
