@@ -145,7 +145,7 @@ WITH trimmed AS (
   SELECT before, word, count(*) AS n FROM paired WHERE before IS NOT NULL GROUP BY ALL
 ), scored AS (
   SELECT p.doc_id, CASE WHEN p.before IS NULL THEN ln(w.n) - ln((SELECT count(*) FROM placed))
-    WHEN c.n >= 2 THEN ln(c.n) - ln(b.n)
+    WHEN c.n >= 1 THEN ln(c.n) - ln(b.n)
     ELSE ln(0.4) + ln(w.n) - ln((SELECT count(*) FROM placed)) END AS s
   FROM paired p JOIN singles w ON w.word = p.word
   LEFT JOIN pairs c ON c.before = p.before AND c.word = p.word

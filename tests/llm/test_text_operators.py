@@ -7,6 +7,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from chartspark.llm import backoff, language, licenses, line_chunks, personal, repeats
@@ -240,26 +241,71 @@ def test_pieces_and_flushes_change_nothing(spark, monkeypatch):
 # Back-off scores
 
 
-def test_scores_match_counts(docs, doc_rows, no_docs):
+def slow_scores(rows, corpus, order):
+    """(words, summed logarithms) of each id by plain counts of all n-grams."""
     words = lambda t: (t or "").encode().lower().split()
-    one, two = Counter(), Counter()
-    for r in doc_rows:
+    grams = Counter()
+    for r in corpus:
         w = words(r[1])
-        one.update(w)
-        two.update(zip(w, w[1:]))
-    total = sum(one.values())
+        grams.update(tuple(w[i : i + n]) for n in range(1, order + 1) for i in range(len(w) - n + 1))
+    total = sum(n for g, n in grams.items() if len(g) == 1)
+
+    def log_score(gram):
+        if len(gram) == 1:
+            return math.log(max(grams[gram], 1) / total)
+        return math.log(grams[gram] / grams[gram[:-1]]) if grams[gram] else math.log(0.4) + log_score(gram[1:])
+
     expected = {}
-    for r in doc_rows:
+    for r in rows:
         w = words(r[1])
-        s = sum(
-            math.log(one[x] / total) if k == 0 else math.log(two[w[k - 1], x] / one[w[k - 1]]) if two[w[k - 1], x] >= 2 else math.log(0.4 * one[x] / total)
-            for k, x in enumerate(w)
-        )
         n0, s0 = expected.get(r[0], (0, 0.0))
-        expected[r[0]] = (n0 + len(w), s0 + s)
-    found = {r["doc_id"]: r for r in backoff.score(docs).collect()}
+        expected[r[0]] = (n0 + len(w), s0 + sum(log_score(tuple(w[max(0, k - order + 1) : k + 1])) for k in range(len(w))))
+    return expected
+
+
+def check_scores(found, expected):
+    found = {r["doc_id"]: r for r in found.collect()}
     assert found.keys() == expected.keys()
     for i, (n, s) in expected.items():
-        assert found[i]["n_words"] == n and math.isclose(found[i]["log_score"], s, abs_tol=1e-6)
+        assert found[i]["n_words"] == n and math.isclose(found[i]["log_score"], s, rel_tol=1e-9, abs_tol=1e-6)
         assert (found[i]["mean_log"] is None) == (n == 0)
+
+
+def test_scores_match_counts(docs, doc_rows, no_docs):
+    check_scores(backoff.score(docs), slow_scores(doc_rows, doc_rows, 2))
     assert backoff.score(no_docs).count() == 0
+
+
+def test_scores_of_any_order_and_corpus(spark, docs, doc_rows, no_docs, monkeypatch):
+    for order in (3, 4):
+        check_scores(backoff.score(docs, order=order), slow_scores(doc_rows, doc_rows, order))
+    rng = random.Random(20)
+    rows = [(i, prose(rng, "en", rng.randint(0, 60)) + " the the the of the", None, None, None) for i in range(30)] + [(40, "never seen words", None, None, None), (41, "zzz", None, None, None)]
+    other = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    check_scores(backoff.score(other, corpus=docs, order=3), slow_scores(rows, doc_rows, 3))
+    for heavy in (3, 10**6):  # hardly any or nearly all n-grams are heavy
+        monkeypatch.setattr(backoff, "HEAVY", heavy)
+        check_scores(backoff.score(other, corpus=docs, order=3), slow_scores(rows, doc_rows, 3))
+    check_scores(backoff.score(other), slow_scores(rows, rows, 2))
+    assert backoff.score(no_docs, corpus=docs).count() == 0
+
+
+def test_long_texts_come_in_parts(monkeypatch):
+    import pyarrow as pa
+
+    texts = ["a b c d e f g h i", "", "j", None, "k l m n o p"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], names=["doc", "text"])
+    whole = list(backoff._places(iter([batch]), 3))
+    monkeypatch.setattr(backoff, "FLUSH_WORDS", 4)
+    parts = list(backoff._places(iter([batch]), 3))
+    assert len(whole) == 1 and len(parts) > 2
+
+    def grams(runs):
+        return [(int(p.doc[i]), int(p.pos[i]), bool(p.end[i]), *(int(x[0]) for x in p.grams(np.array([i]), min(3, int(p.pos[i]) + 1)))) for p in runs for i in np.flatnonzero(p.own)]
+
+    assert grams(parts) == grams(whole)
+
+
+def test_a_pair_with_a_third_of_all_places(spark):
+    rows = [(i, "x " * 60 + f"word{i} other{i % 7}", None, None, None) for i in range(200)]
+    check_scores(backoff.score(spark.createDataFrame(rows, SCHEMA)), slow_scores(rows, rows, 2))
