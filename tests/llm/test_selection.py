@@ -124,6 +124,100 @@ def test_raking_says_when_targets_cannot_be_met(spark):
         mixing.fit(mixing.features(spark.createDataFrame(rows, SCHEMA)), mixing.Plan(sweeps=6))
 
 
+def slow_rake(tokens, goals, sweeps):
+    """Shares by the plain loop; goals by place in the cell's key, then value."""
+    share = {cell: n / sum(tokens.values()) for cell, n in tokens.items()}
+    for _ in range(sweeps):
+        for k, wanted in enumerate(goals):
+            sums = defaultdict(float)
+            for cell, x in share.items():
+                sums[cell[k]] += x
+            share = {cell: x * wanted[cell[k]] / sums[cell[k]] if sums[cell[k]] else 0.0 for cell, x in share.items()}
+    return share
+
+
+def slow_probabilities(tokens, share, keep):
+    """The scale by plain bisection."""
+    total = sum(tokens.values())
+    ratio = {c: share[c] * total / n for c, n in tokens.items()}
+    low, high = 0.0, 1.0 / min(x for x in ratio.values() if x > 0)
+    for _ in range(2000):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(n * min(1, ratio[c] * middle) for c, n in tokens.items()) <= keep * total else (low, middle)
+    return {c: min(1, ratio[c] * low) for c in tokens}
+
+
+def cells_of(rows):
+    out = defaultdict(int)
+    for _, text, lang, source, _ in rows:
+        out[source, lang, mixing.PLAIN] += len(text.split())
+    return dict(out)
+
+
+def test_raking_is_the_plain_loop(spark):
+    rng = random.Random(18)
+    rows = [(i, prose(rng, "en", rng.randint(3, 60)), rng.choice(["en", "en", "fr", "de"]), f"s{min(rng.randrange(9), 4)}", 1) for i in range(400)]
+    tokens = cells_of(rows)
+    plan = mixing.Plan(sweeps=12, tolerance=0.0, keep=0.3)
+    goals = []
+    for k, power in enumerate(plan.powers):
+        sizes = defaultdict(float)
+        for cell, n in tokens.items():
+            sizes[cell[k]] += n
+        scale = sum(n**power for n in sizes.values())
+        goals.append({v: n**power / scale for v, n in sizes.items()})
+    share = slow_rake(tokens, goals, 12)
+    expected = slow_probabilities(tokens, share, plan.keep)
+    with pytest.warns(UserWarning):
+        found = mixing.fit(mixing.features(spark.createDataFrame(rows, SCHEMA)), plan).collect()
+    assert {tuple(r[k] for k in mixing.KEYS): r["tokens"] for r in found} == tokens
+    for r in found:
+        cell = tuple(r[k] for k in mixing.KEYS)
+        assert r["share"] == pytest.approx(share[cell], rel=1e-9) and r["probability"] == pytest.approx(expected[cell], rel=1e-6)
+
+
+def test_targets_that_cannot_be_met_leave_a_sample(spark):
+    """One source holds nearly all of one language and a few rows of the other: a cell's share is driven towards 0."""
+    rng = random.Random(19)
+    labels = [("web", "fr")] * 990 + [("web", "en")] * 2 + [("wiki", "en")] * 10
+    rows = [(i, prose(rng, "en", 40), lang, source, 1) for i, (source, lang) in enumerate(labels)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    with pytest.warns(UserWarning, match="marginal off by"):
+        found = mixing.sample(table).collect()
+    total = sum(r["n_tokens"] for r in found)
+    assert all(0 <= r["probability"] <= 1 and math.isfinite(r["weight"]) for r in found)
+    assert sum(r["probability"] * r["n_tokens"] for r in found) == pytest.approx(mixing.Plan.keep * total, rel=1e-6)
+    assert 0.4 < sum(r["kept"] for r in found) / len(found) < 0.6
+    with pytest.warns(UserWarning):
+        mixing.mixed(table).count()
+
+
+def test_given_targets_are_met(spark):
+    rng = random.Random(20)
+    rows = [(i, prose(rng, "en", 30), rng.choice(["en", "fr", "fr"]), f"s{min(rng.randrange(12), 3)}", 1) for i in range(900)]
+    rows += [(2000 + i, prose(rng, "en", 30), "xx", "s0", 1) for i in range(20)]
+    table = spark.createDataFrame(rows, SCHEMA).withColumn("theme", F.when(F.col("doc_id") % 4 == 0, "news").otherwise("talk"))
+    targets = {"source": {"s0": 0.4, "s1": 0.3, "never": 0.2}, "lang": {"en": 0.6, "xx": 0.0}, "topic": {"news": 0.5, "talk": 0.5}}
+    plan = mixing.Plan(targets=targets, keep=0.02)
+    found = mixing.sample(table, plan=plan, topic_col="theme").collect()
+    expected = sum(r["probability"] * r["n_tokens"] for r in found)
+    assert expected == pytest.approx(0.02 * sum(r["n_tokens"] for r in found), rel=1e-6) and max(r["probability"] for r in found) < 1
+    have = defaultdict(float)
+    for r in found:
+        for key in mixing.KEYS:
+            have[key, r[key]] += r["probability"] * r["n_tokens"] / expected
+    # What does not occur leaves the others their proportion: 0.4 and 0.3 named, 0.1 for the two sources that are not.
+    assert [have["source", "s0"], have["source", "s1"]] == pytest.approx([0.5, 0.375], rel=1e-4)
+    assert have["source", "s2"] + have["source", "s3"] == pytest.approx(0.125, rel=1e-4)
+    assert [have["lang", "en"], have["lang", "fr"], have["lang", "xx"]] == pytest.approx([0.6, 0.4, 0.0], rel=1e-4)
+    assert [have["topic", "news"], have["topic", "talk"]] == pytest.approx([0.5, 0.5], rel=1e-4)
+    assert not any(r["kept"] for r in found if r["lang"] == "xx")
+    with pytest.raises(ValueError):
+        mixing.Plan(targets={"source": {"a": 0.7, "b": 0.7}})
+    both = table.withColumns({"topic": F.lit("x"), "mix_topic": F.lit("y")})
+    assert mixing.mixed(both, plan=plan, topic_col="theme").columns[-3:] == ["mix_mix_topic", "probability", "weight"]
+
+
 VECTORS = "vec_id long, embedding array<float>, list string, entry string"
 
 
