@@ -19,6 +19,7 @@ from chartspark.functions import text as T
 from chartspark.functions.clinical import is_discontinued, is_negated, no_codings
 from chartspark.operators import chart
 from chartspark.operators.containment import first_containment
+from chartspark.session import cut_lineage, settings
 
 
 def _codings() -> Column:
@@ -47,7 +48,7 @@ def exact_hits(candidates: DataFrame, facts: DataFrame) -> DataFrame:
         "cand_id", "patient_id", "resource_type", F.posexplode(pairs).alias("coding_pos", "pair")
     ).select("cand_id", "patient_id", "resource_type", "coding_pos", "pair.system", "pair.code")
     hits = coded.join(chart.code_index(facts), ["patient_id", "resource_type", "system", "code"])
-    return hits.groupBy("cand_id").agg(
+    return hits.groupBy("patient_id", "cand_id").agg(
         F.min(F.struct("coding_pos", "system", "code", "first", "n_matches")).alias("exact"),
         F.min(F.when(F.col("first_active").isNotNull(), F.struct("coding_pos", "first_active"))).alias("exact_active"),
         F.min(F.when(F.col("first_shown").isNotNull(), F.struct("coding_pos", "first_shown"))).alias("exact_shown"),
@@ -67,7 +68,7 @@ def procedure_dates(candidates: DataFrame, facts: DataFrame) -> DataFrame:
         candidates.where((F.col("resource_type") == "Procedure") & (F.coalesce("item.performed", F.lit("")) != ""))
         .select("cand_id", "patient_id", F.col("item.performed").alias("performed"), "exact.system", "exact.code")
     )
-    return first_code.join(chart_dates, ["patient_id", "system", "code", "performed"]).select("cand_id", "dated")
+    return first_code.join(chart_dates, ["patient_id", "system", "code", "performed"]).select("patient_id", "cand_id", "dated")
 
 
 def name_hits(residue: DataFrame, facts: DataFrame) -> DataFrame:
@@ -83,10 +84,10 @@ def name_hits(residue: DataFrame, facts: DataFrame) -> DataFrame:
         "cand_id", "patient_id", "resource_type", "try",
         T.first_text(T.normalize_ingredient(F.coalesce("coding.display", F.lit(""))), F.col("_own")).alias("name"),
     )
-    wanted = conditions.unionByName(drugs)
-    index = chart.display_index(facts.where(F.col("resource_type") == "Condition")).unionByName(
+    wanted = cut_lineage(conditions.unionByName(drugs))
+    index = cut_lineage(chart.display_index(facts.where(F.col("resource_type") == "Condition")).unionByName(
         chart.ingredient_index(facts)
-    )
+    ))
     positions = index.select("patient_id", "resource_type", F.col("key").alias("display"), F.col("first.order").alias("position"))
     contained = first_containment(
         wanted,
@@ -103,7 +104,7 @@ def name_hits(residue: DataFrame, facts: DataFrame) -> DataFrame:
         .withColumn("key", F.col("named.key"))
     )
     return keyed.join(index, ["patient_id", "resource_type", "key"]).select(
-        "cand_id",
+        "patient_id", "cand_id",
         F.struct(F.col("named.name").alias("name"), "key", "first", "first_active", "first_shown", "n_matches").alias("named"),
     )
 
@@ -262,20 +263,53 @@ VERDICTS: dict[str, Callable[[], Column]] = {
 }
 
 
-def match_candidates(candidates: DataFrame, facts: DataFrame) -> DataFrame:
+#: Joins and aggregates on a patient and something else use a partitioning by patient, which an adaptive plan would not tell of.
+LOCAL = {"spark__sql__requireAllClusterKeysForCoPartition": "false", "spark__sql__adaptive__enabled": "false"}
+#: Filters of deep plans need no restating over every alias.
+PLAIN = {"spark__sql__constraintPropagation__enabled": "false"}
+#: Chart rows and candidates of one patient that a task is trusted with.
+LARGEST_PATIENT = 500_000
+
+
+def match_candidates(candidates: DataFrame, facts: DataFrame, largest_patient: int = LARGEST_PATIENT) -> DataFrame:
     """Deterministic verdicts, AMBIGUOUS included. Adds::
 
         classification, reasoning, match_type, match_key, match_resource_id,
         match_display, n_matches
+
+    Chart and candidates are dealt out by patient once; every look-up then stays where the patient is.  Patients of more than
+    ``largest_patient`` rows are matched by the same steps, each dealt out by its own keys.  The result is stored.
     """
-    joined = candidates.join(exact_hits(candidates, facts), "cand_id", "left")
+    spark = candidates.sparkSession
+    with settings(spark, **PLAIN):
+        rows = candidates.select("patient_id").unionAll(facts.select("patient_id"))
+        large = cut_lineage(rows.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > largest_patient).select("patient_id"))
+        some = not large.isEmpty()
+        split = lambda df, how: df.join(large, "patient_id", how) if some else df
+        with settings(spark, **LOCAL):
+            found = cut_lineage(_matched(dealt_by_patient(split(candidates, "left_anti")), dealt_by_patient(split(facts, "left_anti"))))
+        if some:
+            found = found.unionByName(cut_lineage(_matched(cut_lineage(split(candidates, "left_semi")), cut_lineage(split(facts, "left_semi")))))
+    return found
+
+
+def dealt_by_patient(df: DataFrame) -> DataFrame:
+    """The rows, stored as they lie after a shuffle by patient; plans on the result know that."""
+    spark = df.sparkSession
+    with settings(spark, spark__sql__adaptive__enabled="false"):
+        return cut_lineage(df.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "patient_id"))
+
+
+def _matched(candidates: DataFrame, facts: DataFrame) -> DataFrame:
+    key = ["patient_id", "cand_id"]
+    joined = cut_lineage(candidates.join(exact_hits(candidates, facts), key, "left"))
     dates = procedure_dates(joined, facts)
     residue = joined.where(
         F.col("exact").isNull() & F.col("resource_type").isin("Condition", "MedicationRequest")
     ).select("cand_id", "patient_id", "resource_type", "item")
     return _apply_verdicts(
-        joined.join(dates, "cand_id", "left")
-        .join(name_hits(residue, facts), "cand_id", "left")
+        joined.join(dates, key, "left")
+        .join(name_hits(residue, facts), key, "left")
         .join(chart.no_known_allergy(facts), "patient_id", "left"),
         candidates.columns,
     )

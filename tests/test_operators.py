@@ -121,3 +121,28 @@ def test_snapshot_round_trip(spark, tmp_path):
     df = spark.range(3).select("id", F.array("id").alias("xs"))
     assert sorted(sinks.stage_snapshot(df, str(tmp_path), "s").collect()) == sorted(df.collect())
     assert {r.id for r in spark.read.parquet(str(tmp_path / "s")).collect()} == {0, 1, 2}
+
+
+def test_reconcile_deals_rows_out_by_patient_once(spark):
+    from chartspark.functions.clinical import coding
+    from chartspark.operators import reconcile
+    from chartspark.schemas import make_item
+    from chartspark.session import settings
+
+    codes = F.array(coding(F.lit("http://snomed.info/sct"), F.col("code")))
+    none = F.lit(None).cast("string")
+    rows = [(f"p{i % 4}" if i % 3 else "hot", i, str(i % 9), ["Condition", "MedicationRequest", "Procedure"][i % 3], f"thing {i % 5}") for i in range(120)]
+    base = spark.createDataFrame(rows, "patient_id string, n int, code string, resource_type string, name string")
+    items = base.select("patient_id", F.concat(F.lit("c"), "n").alias("cand_id"), "resource_type", make_item(name=F.col("name"), coding=F.when(F.col("n") % 2 == 0, codes)).alias("item"))
+    facts = base.where("n % 4 = 0").select(
+        "patient_id", F.col("n").alias("entry_pos"), "resource_type", F.concat(F.lit("r"), "n").alias("resource_id"), codes.alias("codings"), F.col("name").alias("text"),
+        none.alias("status"), none.alias("clinical_status"), none.alias("value"), none.alias("dose"), none.alias("performed"),
+    )
+    told = lambda df: sorted(map(str, df.drop("item").collect()))
+    expected = told(reconcile.match_candidates(items, facts))
+    assert told(reconcile.match_candidates(items, facts, largest_patient=30)) == expected  # the hot patient goes its own way
+    assert {r["classification"] for r in reconcile.match_candidates(items, facts).select("classification").distinct().collect()} >= {"NEW", "DUPLICATE", "AMBIGUOUS"}
+    with settings(spark, **reconcile.LOCAL):
+        plan = reconcile._matched(reconcile.dealt_by_patient(items), reconcile.dealt_by_patient(facts))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert spark.conf.get("spark.sql.adaptive.enabled") == "true"
