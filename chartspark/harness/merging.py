@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from chartspark import vocab as V
@@ -12,6 +14,9 @@ from chartspark.harness.tables import CANDIDATES, CHART, candidate_items, chart_
 from chartspark.operators import chart, confidence, merge, reconcile
 from chartspark.plans import augmentation
 from chartspark.schemas import completeness_fields
+from chartspark.session import checkpoint_folder
+from chartspark.sources import sinks
+from chartspark.streaming import jobs
 
 # -- merge ----------------------------------------------------------------------------------------
 
@@ -430,6 +435,38 @@ def _scored(t):
     return confidence.with_confidence(reconcile.reconcile(items, chart_facts(t)))
 
 
+def _folder(t, name):
+    return f"{checkpoint_folder(t.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "reload_patients", "A16",
+    f"""SELECT patient_id, resource_id, CASE WHEN patient_id::BIGINT % 50 = 7 THEN 'reloaded' ELSE text END AS text FROM ({CHART})
+        WHERE patient_id::BIGINT % 50 <> 7 OR resource_type <> 'Procedure'""",
+)
+def _(t):
+    """The chart as a patient table; every fiftieth patient is loaded anew, without procedures, and the load is repeated."""
+    facts, path = chart_facts(t), _folder(t, "patients")
+    sinks.reload_patients(t.spark, facts, path, rows_per_bucket=2_000)
+    fresh = facts.where("patient_id % 50 = 7 AND resource_type <> 'Procedure'").withColumn("text", F.lit("reloaded"))
+    for _ in range(2):
+        sinks.reload_patients(t.spark, fresh, path)
+    return sinks.read_patients(t.spark, path).select("patient_id", "resource_id", "text")
+
+
+@query("stream_reconcile", "L4", f"WITH {EVIDENCE}, {SETTLED} SELECT cand_id, classification, count(*) AS n FROM settled GROUP BY ALL")
+def _(t):
+    """Candidates arriving in three files against the patient table, all of them a second time; what lies there in the end."""
+    chart_path, inbox, out = _folder(t, "chart"), _folder(t, "inbox"), _folder(t, "reconciled")
+    sinks.reload_patients(t.spark, chart_facts(t), chart_path, rows_per_bucket=5_000)
+    items = with_n_docs(candidate_items(t))
+    items.repartition(3, "cand_id").write.parquet(inbox)
+    for attempt in ("first", "second"):
+        arriving = t.spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+        jobs.stream_reconcile(arriving, chart_path, out, _folder(t, attempt)).awaitTermination()
+    return t.spark.read.parquet(out).groupBy("cand_id", "classification").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "confidence", "K16",
     f"""WITH {ONE_NOTE}, {SETTLED}, {SCORED}, {TIERED} SELECT cand_id, round(score, 3)::DOUBLE AS score, tier,

@@ -1,6 +1,8 @@
 import json
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from chartspark.operators import builders, evaluate, lanes, merge, spans
@@ -117,6 +119,28 @@ def test_reload_is_idempotent(spark, tmp_path):
     assert sorted((r.patient_id, r.v) for r in spark.read.parquet(path).collect()) == [("a", 9), ("b", 2)]
 
 
+def test_reload_rewrites_what_it_touches(spark, tmp_path):
+    path = tmp_path / "chart"
+    rows = spark.range(4000).select((F.col("id") % 400).cast("string").alias("patient_id"), F.col("id").alias("v"))
+    sinks.reload_patients(spark, rows, str(path), rows_per_bucket=10)
+    assert sinks.table_buckets(spark, str(path)) == 400
+    files = lambda: {f: f.stat().st_size for f in path.glob("bucket=*/*.parquet")}
+    before = files()
+    fresh = rows.where("patient_id IN ('3', '77', '105', '399') AND v < 2000").withColumn("v", -F.col("v"))
+    wanted = sorted((r.patient_id, r.v) for r in rows.where("patient_id NOT IN ('3', '77', '105', '399')").union(fresh).collect())
+    for _ in range(2):
+        sinks.reload_patients(spark, fresh, str(path))
+        after = files()
+        assert 0 < sum(size for f, size in after.items() if f not in before) <= 0.03 * sum(after.values())
+        assert sorted((r.patient_id, r.v) for r in sinks.read_patients(spark, str(path)).collect()) == wanted
+    some = sinks.read_patients(spark, str(path), spark.createDataFrame([("3",), ("200",), ("none",)], "patient_id string"))
+    assert {r.patient_id for r in some.collect()} == {"3", "200"} and sorted(some.columns) == ["patient_id", "v"]
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", some._jdf.queryExecution().executedPlan().toString())
+    spark.range(1).selectExpr("'a' AS patient_id").write.parquet(str(tmp_path / "other"))
+    with pytest.raises(ValueError):
+        sinks.reload_patients(spark, fresh, str(tmp_path / "other"))
+
+
 def test_snapshot_round_trip(spark, tmp_path):
     df = spark.range(3).select("id", F.array("id").alias("xs"))
     assert sorted(sinks.stage_snapshot(df, str(tmp_path), "s").collect()) == sorted(df.collect())
