@@ -94,15 +94,34 @@ def _(t):
     return search.union_search(jobs, _terms(t), 5).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query("backoff_search", "C20")
+def _backoff_sql(k: int) -> str:
+    """Every job's query; where it finds nothing, all its shorter forms, united and ranked again."""
+    kept = S.names(V.LEADING_STOPWORDS)
+    return f"""WITH words AS (SELECT job_id, system, query, list_filter(string_split_regex(replace(query, '-', ' '), '\\s+'), lambda x: x <> '') AS w FROM ({ASKED})),
+        raw AS (SELECT job_id, system, query, 1 AS pos, list_filter(string_split_regex(split_part(query, ',', 1), '\\s+'), lambda x: x <> '') AS v FROM words WHERE contains(query, ',')
+          UNION ALL SELECT job_id, system, query, 2, w[2:] FROM words WHERE len(w) > 2 UNION ALL SELECT job_id, system, query, 3, w[3:] FROM words WHERE len(w) > 3
+          UNION ALL SELECT job_id, system, query, 4, w[len(w) - 2:] FROM words WHERE len(w) > 3 UNION ALL SELECT job_id, system, query, 5, w[len(w) - 1:] FROM words WHERE len(w) > 2),
+        cut AS (SELECT job_id, system, query AS own, pos, array_to_string(CASE WHEN lower(v[1]) NOT IN ({kept}) THEN v WHEN lower(v[2]) NOT IN ({kept}) THEN v[2:]
+            WHEN lower(v[3]) NOT IN ({kept}) THEN v[3:] ELSE v[4:] END, ' ') AS query FROM raw),
+        shorter AS (SELECT job_id, system, arg_min(query, pos) AS query, min(pos) AS pos FROM cut WHERE query <> '' AND lower(query) <> lower(own) GROUP BY job_id, system, lower(query)),
+        {SEARCH.replace('{asked}', f"SELECT job_id, system, query FROM ({ASKED}) UNION ALL SELECT job_id, system, query FROM shorter")},
+        found AS (SELECT q.job_id, q.system, r.code, r.display, r.rank, 0 AS pos FROM ({ASKED}) q JOIN ranked r ON r.system = q.system AND r.query = q.query AND r.rank <= {k}),
+        again AS (SELECT v.job_id, v.system, r.code, r.display, r.rank, v.pos FROM shorter v JOIN ranked r ON r.system = v.system AND r.query = v.query AND r.rank <= {k}
+          WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.job_id = v.job_id AND f.system = v.system)),
+        hits AS (SELECT *, {_SCORE} AS score FROM (SELECT * FROM found UNION ALL SELECT * FROM again)),
+        best AS (SELECT job_id, system, code, arg_min(display, (-score, pos, rank)) AS display, max(score) AS score, min((pos, rank)) AS first FROM hits GROUP BY ALL)
+        SELECT job_id, system, code, display, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY job_id, system ORDER BY score DESC, first, code) AS rank FROM best) WHERE rank <= {k}"""
+
+
+@query("backoff_search", "C20", _backoff_sql(5))
 def _(t):
     jobs = t.sql(ASKED).withColumn("queries", F.array("query")).drop("query")
-    return search.backoff_search(jobs, _terms(t), 5)
+    return search.backoff_search(jobs, _terms(t), 5).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-@query("search_terminology", "F3")
+@query("search_terminology", "F3", _backoff_sql(25))
 def _(t):
-    return search.search_terminology(t.sql(ASKED), _terms(t), 99)
+    return search.search_terminology(t.sql(ASKED), _terms(t), 99).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 PINS = "SELECT CASE p_partkey % 2 WHEN 0 THEN 'icd10' ELSE 'snomed' END AS system, p_partkey AS pin_pos, concat('p', p_partkey) AS code, concat(p_name, ' ', lower(p_type)) AS display FROM {part} WHERE p_size = 50"

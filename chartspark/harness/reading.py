@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from chartspark import vocab as V
 from chartspark.functions import text as T
+from chartspark.harness import merging
 from chartspark.harness import sqltext as S
 from chartspark.harness.registry import query
 from chartspark.harness.tables import CANDIDATES, candidate_items, chart_facts
@@ -269,17 +270,31 @@ def _(t):
     return requests.select("document_id", "resource_type", F.regexp_count("user_text", F.lit(r"(?m)^\[\d+\] ")).cast("bigint").alias("n"))
 
 
-@query("merge_requests", "K6")
+_GROUPED = "{KEYED}, {GROUPS}, {MARKED}, {SCOPED}, {IDS}".format(KEYED=merging.KEYED, GROUPS=merging.GROUPS, MARKED=merging.MARKED, SCOPED=merging.SCOPED, IDS=merging.IDS)
+
+
+@query(
+    "merge_requests", "K6",
+    f"""WITH {_GROUPED}, names AS (SELECT i.patient_id, i.scope, i.group_id, k.resource_type, min(coalesce(CASE k.resource_type WHEN 'AllergyIntolerance' THEN k.substance
+          WHEN 'FamilyMemberHistory' THEN k.relationship ELSE k.name END, '')) AS name, count(*) AS n FROM keyed k JOIN ids i USING (patient_id, merge_key) GROUP BY ALL),
+        texts AS (SELECT patient_id, scope, string_agg('[' || group_id || '] ' || resource_type || ': "' || name || '" x' || n, chr(10) ORDER BY group_id, resource_type) AS user_text FROM names GROUP BY ALL)
+        SELECT patient_id, scope, user_text, sha256(user_text || chr(0) || 'm' || chr(0) || 'v1') AS content_key FROM texts""",
+)
 def _(t):
     keyed = merge.with_merge_key(candidate_items(t))
     scoped = merge.adjudication_scopes(merge.mark_ambiguous(merge.merge_groups(keyed)))
     return lanes.with_key(lanes.merge_requests(merge.adjudication_ids(scoped), keyed), "m", "v1").select("patient_id", "scope", "content_key", "user_text")
 
 
-@query("reconcile_requests", "K8")
+@query(
+    "reconcile_requests", "K8",
+    f"""WITH {merging.EVIDENCE}, asked AS (SELECT *, row_number() OVER (PARTITION BY patient_id, resource_type ORDER BY cand_id) - 1 AS i,
+          regexp_extract(verdict[2], ' ~ ''(.*)''$', 1) AS key FROM judged WHERE verdict[1] = 'AMBIGUOUS')
+        SELECT patient_id, resource_type, string_agg('[' || i || '] Candidate: ' || coalesce(name, '') || chr(10) || '    Chart:     ' || verdict[3] || ' ' || key, chr(10) || chr(10) ORDER BY i) AS user_text
+        FROM asked GROUP BY ALL""",
+)
 def _(t):
-    matched = reconcile.match_candidates(candidate_items(t).where("resource_type = 'Condition'"), chart_facts(t).where("resource_type = 'Condition'"))
-    return lanes.reconcile_requests(matched).select("patient_id", "resource_type", "user_text")
+    return lanes.reconcile_requests(reconcile.match_candidates(candidate_items(t), chart_facts(t))).select("patient_id", "resource_type", "user_text")
 
 
 @query(
