@@ -12,6 +12,7 @@ from chartspark.harness.registry import query
 from chartspark.harness.tables import CANDIDATES, candidate_items
 from chartspark.operators import coding, search, vectors
 from chartspark.schemas import make_item
+from chartspark.session import cut_lineage
 from chartspark.sources import catalog, terminology
 
 TERMS = """SELECT CASE p_partkey % 3 WHEN 0 THEN 'icd10' WHEN 1 THEN 'snomed' ELSE 'cpt' END AS system, CASE WHEN p_partkey % 50 = 7 THEN '' ELSE concat('c', p_partkey % 1500) END AS code,
@@ -232,18 +233,37 @@ def _(t):
     return jobs.select("cand_id", "term", "system")
 
 
-@query("select_and_attach", "K7")
+_JOBS = f"""jobs AS (SELECT cand_id, coalesce(substance, name) AS term, s.system, s.pos FROM ({CANDIDATES}) c JOIN (SELECT 'snomed' AS system, 0 AS pos UNION ALL SELECT 'icd10', 1) s
+    ON c.resource_type <> 'FamilyMemberHistory' AND (s.system = 'snomed' OR c.resource_type <> 'AllergyIntolerance'))"""
+_TERMS_ASKED = "SELECT system, term AS query FROM jobs UNION ALL SELECT system, split_part(term, ' ', 1) FROM jobs"
+
+
+@query(
+    "select_and_attach", "K7",
+    f"""WITH {_JOBS}, {SEARCH.replace('{asked}', _TERMS_ASKED)},
+        chosen AS (SELECT j.cand_id, j.pos, coalesce(r.code, again.code) AS code FROM jobs j LEFT JOIN ranked r ON r.system = j.system AND r.query = j.term AND r.rank = 1
+          LEFT JOIN ranked again ON again.system = j.system AND again.query = split_part(j.term, ' ', 1) AND again.rank = 1),
+        codes AS (SELECT cand_id, string_agg(code, ',' ORDER BY pos) AS codes FROM chosen GROUP BY cand_id)
+        SELECT cand_id, CASE WHEN resource_type = 'FamilyMemberHistory' THEN coalesce({_ROLE.replace('relation)', 'relationship)')}, relationship) ELSE coalesce(codes, substance, name) END AS codes
+        FROM ({CANDIDATES}) LEFT JOIN codes USING (cand_id)""",
+)
 def _(t):
-    """Select the first hit of every job, put the codings into the items, and show what was coded."""
+    """Select the first hit of every job, ask the others for a better term (the first word), try once more, and put the codings into the items."""
     items = candidate_items(t)
-    jobs = coding.search_jobs(items, F.array(F.lit("snomed"), F.lit("icd10")), F.array().cast("array<string>"), F.lit(False))
-    names = jobs.select("system", F.col("term").alias("query"))
-    hits = jobs.select("job_id", "system", F.col("term").alias("query")).join(search.lexical_search(names, _terms(t), 10), ["system", "query"])
-    requests = coding.select_requests(jobs, hits)
-    first = hits.where("rank = 1").select("job_id", F.to_json(F.struct("code")).alias("response"))
-    answers = requests.select("job_id", "lane").join(first, "job_id", "left").withColumn("response", F.coalesce("response", F.lit("{}")))
-    codings, _ = coding.apply_selection(jobs, hits, answers)
-    return coding.attach_codings(items, codings).select(
+    jobs = cut_lineage(coding.search_jobs(items, F.array(F.lit("snomed"), F.lit("icd10")), F.array().cast("array<string>"), F.lit(False)))
+
+    def round_of(jobs, term, refined):
+        names = jobs.select("job_id", "system", term.alias("query"))
+        hits = names.join(search.lexical_search(names, _terms(t), 10), ["system", "query"])
+        lanes = coding.select_requests(jobs, hits).select("job_id", "lane")
+        first = hits.where("rank = 1").select("job_id", F.to_json(F.struct("code")).alias("chosen"))
+        better = jobs.select("job_id", F.to_json(F.struct(refined.alias("refined_search_term"))).alias("better"))
+        answers = lanes.join(first, "job_id", "left").join(better, "job_id").select("job_id", F.when(F.col("lane") == "select", F.col("chosen")).otherwise(F.col("better")).alias("response"))
+        return coding.apply_selection(jobs, hits, answers)
+
+    chosen, retry = round_of(jobs, F.col("term"), F.split("term", " ")[0])
+    second, _ = round_of(cut_lineage(retry), F.col("queries")[0], F.lit(None).cast("string"))
+    return coding.attach_codings(items, chosen.unionByName(second)).select(
         "cand_id", F.array_join(F.transform("item.coding", lambda c: F.coalesce(c["code"], c["text"])), ",").alias("codes")
     )
 
