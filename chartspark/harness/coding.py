@@ -10,7 +10,7 @@ from chartspark.harness import sqltext as S
 from chartspark.harness.expressions import PARTS, SQUEEZED, _concept_case, _tnm_sql, from_parts, parts
 from chartspark.harness.registry import query
 from chartspark.harness.tables import CANDIDATES, candidate_items
-from chartspark.operators import coding, search, vectors
+from chartspark.operators import assembly, coding, search, vectors
 from chartspark.schemas import make_item
 from chartspark.session import cut_lineage
 from chartspark.sources import catalog, terminology
@@ -316,6 +316,47 @@ def _(t):
     return catalog.read_ig_catalog(t.nation.select(guide.alias("value")))[1].drop("display")
 
 
+_GUIDES = """{"base": [{"id": "b1", "resources": {"Condition": {"profiles": ["http://b/never"], "fixed": [{"system": "snomed", "code": "1"}, {"system": "snomed", "code": "2", "display": "two"}]},
+    "Procedure": {"fixed": [{"system": "cpt", "code": "9"}, {"system": "cpt", "code": ""}]}}}, {"id": "b1", "resources": {}}],
+    "specialties": [{"id": "s1", "resources": {"Condition": {"profiles": ["http://s/1", "http://s/2"], "fixed": [{"system": "snomed", "code": "2", "display": "again"}, {"system": "urn:x", "code": "3"}]}}}]}"""
+
+
+def _effective(t):
+    """Presets of customers: with and without guides, some with conditions off and open or closed systems."""
+    k = F.col("c_custkey")
+    guides = F.when(k % 3 == 0, ', "ig": {"base": "b1", "specialty": "s1"}').when(k % 3 == 1, ', "ig": {"base": "b1"}').otherwise("")
+    presets = t.customer.select(F.concat(
+        F.lit('{"id": "p'), k, F.lit('"'), guides, F.lit(', "resources": {"Condition": {"enabled": '), F.when(k % 4 == 0, "false").otherwise("true"), F.lit('}}, "coding": {"Condition": {"systems": '),
+        F.when(k % 5 == 0, "[]").otherwise("null"), F.lit("}}}"),
+    ).alias("value"))
+    return catalog.effective_rules(presets, *catalog.read_ig_catalog(t.region.where("r_regionkey = 0").select(F.lit(_GUIDES).alias("value"))))
+
+
+@query(
+    "effective_rules", "K9 A12",
+    """SELECT 'p' || c_custkey AS preset_id, kind AS resource_type, CASE WHEN c_custkey % 3 = 2 THEN '' WHEN kind = 'Procedure' THEN 'http://www.ama-assn.org/go/cpt|9|' WHEN kind <> 'Condition' THEN ''
+        WHEN c_custkey % 3 = 0 THEN 'http://snomed.info/sct|1|;http://snomed.info/sct|2|two;urn:x|3|' ELSE 'http://snomed.info/sct|1|;http://snomed.info/sct|2|two' END AS fixed,
+        CASE WHEN c_custkey % 3 = 0 AND kind = 'Condition' THEN 'http://s/1,http://s/2' ELSE '' END AS candidate_profiles
+        FROM {customer}, (SELECT unnest(['Condition', 'Observation', 'MedicationRequest', 'Procedure', 'AllergyIntolerance', 'FamilyMemberHistory']) AS kind)""",
+)
+def _(t):
+    told = F.transform("fixed", lambda c: F.concat_ws("|", c["system"], c["code"], c["display"]))
+    return _effective(t).select("preset_id", "resource_type", F.array_join(told, ";").alias("fixed"), F.array_join("candidate_profiles", ",").alias("candidate_profiles"))
+
+
+@query(
+    "rules_by_preset", "B3 K9 B5",
+    f"""SELECT cand_id, uncoded OR resource_type <> 'Condition' OR patient_id::BIGINT % 5 <> 0 OR (patient_id::BIGINT % 3 <> 2 AND code0 IN ('1', '2')) AS allowed
+        FROM ({CANDIDATES}) WHERE resource_type <> 'Condition' OR patient_id::BIGINT % 4 <> 0""",
+)
+def _(t):
+    """Each patient's candidates under a preset of their own: all presets in one run, and a type switched off leaves for its own preset alone."""
+    rules = _effective(t)
+    rows = candidate_items(t).withColumn("preset_id", F.concat(F.lit("p"), "patient_id"))
+    kept = assembly.with_rules(catalog.drop_disabled_types(rows, rules), rules)
+    return kept.select("cand_id", assembly.code_allowed(assembly.primary_codings(), F.col("open_systems"), F.col("pinned"), F.col("fixed")).alias("allowed"))
+
+
 __all__ = ["make_item"]
 
 

@@ -12,6 +12,7 @@ from chartspark.functions import clinical as C
 from chartspark.functions import text as T
 from chartspark.functions.fhir import display_label, view
 from chartspark.operators import builders
+from chartspark.sources.catalog import rule_key
 
 MCODE = "mcode-"
 Stage = Callable[[DataFrame, str], DataFrame]
@@ -142,9 +143,9 @@ def specialty_profile(candidate_profiles: Column, cancer_surgery: Column) -> Col
 
 
 def with_rules(rows: DataFrame, rules: DataFrame | None) -> DataFrame:
-    """Rule columns of the row's type; nothing is restricted without rules.
+    """Rule columns of the row's type and, where rules are by preset, of its ``preset_id``; nothing is restricted without rules.
 
-    ``rules``: ``resource_type, open_systems, pinned, fixed, profiles, candidate_profiles, extensions``.
+    ``rules``: ``resource_type, open_systems, pinned, fixed, profiles, candidate_profiles, extensions``, and ``preset_id`` as from ``effective_rules``.
     """
     codes = f"array<{_CODE}>"
     empty = {
@@ -153,7 +154,8 @@ def with_rules(rows: DataFrame, rules: DataFrame | None) -> DataFrame:
     }
     if rules is None:
         return rows.withColumns({name: F.lit(None).cast(kind) for name, kind in empty.items()})
-    return rows.join(rules.select("resource_type", *[F.col(c).cast(k).alias(c) for c, k in empty.items()]), "resource_type", "left")
+    key = rule_key(rows, rules)
+    return rows.join(rules.select(*key, *[F.col(c).cast(k).alias(c) for c, k in empty.items()]), key, "left")
 
 
 def assemble(

@@ -76,6 +76,41 @@ def resolve_rules(presets: DataFrame) -> DataFrame:
     )
 
 
+def effective_rules(presets: DataFrame, profiles: DataFrame, fixed: DataFrame) -> DataFrame:
+    """``resolve_rules`` with what the preset's guides add: ``candidate_profiles`` and ``fixed`` codes, one row per preset and type.
+
+    ``profiles`` and ``fixed`` as from ``read_ig_catalog``.  Candidate profiles are those of the specialty guide, in its order.  Fixed codes are the base
+    guide's, then the specialty's; of equal (system, code) the first stays.  A preset that repeats is one preset; ``profiles`` that go
+    on every resource are none, as the builders write the base guide's themselves.
+    """
+    rules = resolve_rules(presets).dropDuplicates(["preset_id", "resource_type"])
+    key = ["preset_id", "resource_type"]
+    layers = rules.select(*key, F.posexplode(F.array("guide_base", "guide_specialty")).alias("layer", "guide"))
+    codes = (
+        layers.join(fixed.where("system IS NOT NULL"), ["guide", "resource_type"])
+        .groupBy(*key, "system", "code").agg(F.min(F.struct("layer", "position", "display")).alias("first"))
+        .groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("first.layer", "first.position", "system", "code", "first.display"))).alias("f"))
+        .select(*key, F.transform("f", lambda c: F.struct(c["system"].alias("system"), c["code"].alias("code"), c["display"].alias("display"))).alias("fixed"))
+    )
+    fitting = (
+        layers.where("layer = 1").join(profiles, ["guide", "resource_type"])
+        .groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("position", "profile"))).alias("p"))
+        .select(*key, F.transform("p", lambda x: x["profile"]).alias("candidate_profiles"))
+    )
+    none = F.array().cast("array<string>")
+    return rules.join(codes, key, "left").join(fitting, key, "left").withColumns(
+        {"fixed": F.coalesce("fixed", F.array().cast(f"array<{_CODE}>")), "candidate_profiles": F.coalesce("candidate_profiles", none), "profiles": none}
+    )
+
+
+def rule_key(rows: DataFrame, rules: DataFrame) -> list[str]:
+    """What rows and rules are joined on: the type, and the preset where both name one.  Rules of several presets need rows that name theirs."""
+    if "preset_id" in rules.columns and "preset_id" not in rows.columns:
+        raise ValueError("rules are by preset: rows need a preset_id")
+    return ["preset_id", "resource_type"] if "preset_id" in rules.columns else ["resource_type"]
+
+
 def drop_disabled_types(candidates: DataFrame, rules: DataFrame) -> DataFrame:
-    """Candidates of the types a preset switched off leave; types without a rule stay."""
-    return candidates.join(rules.where(~F.col("enabled")).select("resource_type"), "resource_type", "left_anti")
+    """Candidates of the types their preset switched off leave; types without a rule stay."""
+    key = rule_key(candidates, rules)
+    return candidates.join(rules.where(~F.col("enabled")).select(*key).distinct(), key, "left_anti")
