@@ -5,8 +5,9 @@ Lists are cells of k-means fitted on a bounded sample; every vector is in the in
 vectors lie rotated at random in column blocks.  After each block a hypothesis test compares the
 distance so far with what a vector at the current k-th distance would show; those that fail are
 abandoned, and the survivors get their exact score on the original vectors in double precision.
-Each query starts from a limit it knows before any list: its k-th distance among the sample, whose vectors ("scouts")
-are candidates too, so that no query finds fewer than it should.
+Each query starts from a limit it knows before any list: its k-th distance among a few vectors of the sample, as many at every
+size ("scouts"), which are candidates too, so that no query finds fewer than it should.  Its ``FIRST`` nearest lists then
+give the limit that the others are scanned with.
 
 How many lists to probe is measured on the sample, for a recall of ``RECALL`` against brute force there.
 
@@ -29,6 +30,8 @@ from pyspark.sql.window import Window
 from chartspark.llm.common import stored, unit_hash
 
 SAMPLE = 20_000
+SCOUTS = 500
+FIRST = 4
 LISTS = 4_096
 ROUNDS = 8
 RECALL = 0.97
@@ -64,7 +67,7 @@ class Frame:
         far = (self.centres**2).sum(axis=1) - 2 * raised @ self.centres.T
         count = min(count, far.shape[1])
         found = np.argpartition(far, count - 1, axis=1)[:, :count]
-        return found
+        return np.take_along_axis(found, np.argsort(np.take_along_axis(far, found, axis=1), axis=1, kind="stable"), axis=1)
 
     def scouted(self, queries: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
         """Per query the squared distance within which ``k + 1`` scouts lie (infinite where there are fewer), those scouts and their scores."""
@@ -125,7 +128,7 @@ def fit(sample: np.ndarray, entries: np.ndarray, total: int, norm: float, k: int
     rng = np.random.default_rng(11)
     size = sample.shape[1] + 1
     rotation, _ = np.linalg.qr(rng.standard_normal((size, size)))
-    frame = Frame(norm, rotation, np.zeros((1, size)), sample, entries, 1, k)
+    frame = Frame(norm, rotation, np.zeros((1, size)), sample[:SCOUTS], entries[:SCOUTS], 1, k)
     raised = frame.raised(sample, False)
     frame.centres = kmeans(raised, int(np.clip(1.5 * np.sqrt(total), 1, min(LISTS, max(1, len(sample) // 4)))))
     tried = rng.choice(len(sample), min(200, len(sample)), replace=False)
@@ -200,7 +203,6 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     kind = "entry long, vector array<double>, lists array<int>, limit double, scouts array<long>, scores array<double>"
     homes = stored(entries.select("entry", "vector").mapInArrow(place(1, False), kind).select("entry", "vector", F.col("lists")[0].alias("list")), "homes")
     probing = stored(asked.select("entry", "vector").distinct().mapInArrow(place(frame.probes, True), kind), "probing")
-    wanted = probing.select("entry", "vector", "limit", F.explode("lists").alias("list"))
 
     def pieces(df: DataFrame, most_rows: int) -> Column:
         """Number of pieces of each list, as a look-up; lists are at most ``LISTS``."""
@@ -208,11 +210,8 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
         table = F.create_map(*(F.lit(x) for pair in sorted(found.items()) for x in pair)) if found else F.lit(None).cast("map<int,int>")
         return F.coalesce(table[F.col("list")], F.lit(1))
 
-    row_pieces, query_pieces = pieces(homes, LIST_ROWS), pieces(wanted, LIST_QUERIES)
     own = lambda n: F.pmod(F.xxhash64("entry"), n).cast("int")
     all_of = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    left = homes.select("*", own(row_pieces).alias("row_piece"), all_of(query_pieces).alias("query_piece"))
-    right = wanted.select("*", own(query_pieces).alias("query_piece"), all_of(row_pieces).alias("row_piece"))
 
     def meet(rows: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[list[np.ndarray]] = [[], [], []]
@@ -225,10 +224,28 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
         join = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0), kind)
         return pa.table({"query": join(out[0], pa.int64()), "entry": join(out[1], pa.int64()), "score": join(out[2], pa.float64())})
 
-    keys = ("list", "row_piece", "query_piece")
-    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query long, entry long, score double")
+    def visited(wanted: DataFrame) -> DataFrame:
+        """``(query, entry, score)`` found in the lists asked for, each with the query's limit."""
+        row_pieces, query_pieces = pieces(homes, LIST_ROWS), pieces(wanted, LIST_QUERIES)
+        left = homes.select("*", own(row_pieces).alias("row_piece"), all_of(query_pieces).alias("query_piece"))
+        right = wanted.select("*", own(query_pieces).alias("query_piece"), all_of(row_pieces).alias("row_piece"))
+        keys = ("list", "row_piece", "query_piece")
+        return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(meet, "query long, entry long, score double")
+
     scouts = probing.select(F.col("entry").alias("query"), F.inline(F.arrays_zip(F.col("scouts").alias("entry"), F.col("scores").alias("score"))))
-    each = met.unionByName(scouts).groupBy("query", "entry").agg(F.max("score").alias("score"))
+    near = F.slice("lists", F.lit(1), F.least(F.lit(FIRST), F.size("lists")))
+    met = visited(probing.select("entry", "vector", "limit", F.explode(near).alias("list"))).unionByName(scouts)
+    met = met.groupBy("query", "entry").agg(F.max("score").alias("score"))
+    order = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "entry"))
+    met = stored(met.withColumn("place", order).where(F.col("place") <= k + 1), "near")
+    # The (k + 1)-th best so far as a squared distance, with some room for rounding.
+    square = F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x)
+    far = (square + F.lit(frame.norm**2) - 2 * F.col("worst")) * F.lit(1 + 1e-9) + F.lit(1e-9 * frame.norm**2)
+    worst = met.where(F.col("place") == k + 1).select(F.col("query").alias("entry"), F.col("score").alias("worst"))
+    rest = probing.where(F.size("lists") > FIRST).join(worst, "entry", "left").select(
+        "entry", "vector", F.coalesce(F.least("limit", far), F.col("limit")).alias("limit"), F.explode(F.slice("lists", FIRST + 1, F.size("lists"))).alias("list")
+    )
+    each = visited(stored(rest, "rest")).unionByName(met.drop("place")).groupBy("query", "entry").agg(F.max("score").alias("score"))
     best = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "entry"))
     top = each.withColumn("place", best).where(F.col("place") <= k + 1)
     top = top.join(entries, "entry").join(probing.select(F.col("entry").alias("query"), F.col("vector").alias("asked")), "query")

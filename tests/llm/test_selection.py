@@ -250,6 +250,25 @@ def test_neighbours_of_small_tables_are_exact(spark):
     assert neighbours.search(spark.createDataFrame([], VECTORS)).count() == 0
 
 
+def test_lists_reach_their_recall_with_few_scouts(spark, monkeypatch):
+    """Many more vectors than the sample and the scouts hold: what is found comes out of the probed lists."""
+    monkeypatch.setattr(neighbours, "SAMPLE", 1_000)
+    monkeypatch.setattr(neighbours, "SCOUTS", 30)
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((60, 24))
+    x = (centres[rng.integers(0, 60, 8000)] + 0.6 * rng.standard_normal((8000, 24))).astype(np.float32)
+    rows = [(i, v, "x", "y") for i, v in enumerate(x.tolist())]
+    found = defaultdict(set)
+    for r in neighbours.search(spark.createDataFrame(rows, VECTORS).repartition(4), k=10, every=100).collect():
+        found[r["query_id"]].add(r["vec_id"])
+    scores = x[::100].astype(float) @ x.T.astype(float)
+    hits = 0
+    for i, own in enumerate(scores):
+        own[i * 100] = -np.inf
+        hits += len(found[i * 100] & set(np.argsort(-own)[:10].tolist()))
+    assert hits / (80 * 10) >= 0.9 and all(len(v) == 10 for v in found.values())
+
+
 def test_adaptive_scan_reaches_its_recall():
     rng = np.random.default_rng(4)
     centres = rng.standard_normal((20, 48))
