@@ -141,6 +141,21 @@ def test_reload_rewrites_what_it_touches(spark, tmp_path):
         sinks.reload_patients(spark, fresh, str(tmp_path / "other"))
 
 
+def test_terms_with_one_opening_are_found_whole(spark):
+    from chartspark.operators import rule_lane
+
+    rnd = random.Random(12)
+    words = ["disorder", "of", "left", "knee", "heart", "the"]
+    terms = [("s", f"c{i}", " ".join(["Disorder", "of"][: rnd.randint(0, 2)] + rnd.choices(words, k=rnd.randint(1, 4)))) for i in range(150)] + [("s", "long", "disorder of " + " ".join(words * 4)), ("s", "none", " - ")]
+    rows = [(f"d{i}", i, " ".join(rnd.choices([*words, "disorder of", "x,"], k=rnd.randint(0, 15)))) for i in range(80)] + [("d", 99, "A disorder of " + " ".join(words * 4) + "!")]
+    found = rule_lane.gazetteer_candidates(spark.createDataFrame(rows, "document_id string, number int, text string"), spark.createDataFrame(terms, "system string, code string, display string"))
+    cut = lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    inside = lambda a, b: bool(a) and any(b[i : i + len(a)] == a for i in range(len(b)))
+    expected = {(d, n, text, name, system, code) for d, n, text in rows for system, code, name in terms if inside(cut(name), cut(text))}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == expected
+
+
 def test_snapshot_round_trip(spark, tmp_path):
     df = spark.range(3).select("id", F.array("id").alias("xs"))
     assert sorted(sinks.stage_snapshot(df, str(tmp_path), "s").collect()) == sorted(df.collect())
