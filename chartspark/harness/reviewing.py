@@ -8,10 +8,14 @@ from chartspark import vocab as V
 from chartspark.functions import clinical as C
 from chartspark.functions import text as T
 from chartspark.functions.fhir import display_label, summary_rows, view
+from chartspark.harness import merging
 from chartspark.harness import sqltext as S
 from chartspark.harness.registry import query, with_json
-from chartspark.harness.tables import CANDIDATES, candidate_items
-from chartspark.operators import assembly, builders, conformance, structure
+from chartspark.harness.tables import CANDIDATES, candidate_items, chart_facts
+from chartspark.operators import assembly, builders, conformance, merge, structure
+from chartspark.plans.augmentation import reconcile_and_score
+from chartspark.plans.counters import RunCounters
+from chartspark.sources.notes import guardrail_check
 
 _K = "CAST(split_part(cand_id, '-', 4) AS BIGINT)"
 CLASS = f"CASE {_K} % 4 WHEN 0 THEN 'NEW' WHEN 1 THEN 'DUPLICATE' WHEN 2 THEN 'UPDATING' ELSE 'CONFLICTING' END"
@@ -204,6 +208,28 @@ def _(t):
     return assembly.stage_counters(candidates=rows, reviewable=assembly.reviewable(rows), documents=t.documents)
 
 
+@query(
+    "run_counters", "D34",
+    f"""WITH {merging.KEYED}, {merging.GROUPS}, {merging.MERGED}, {merging.MERGED_EVIDENCE}, {merging.SETTLED}
+        SELECT 'documents accepted' AS counter, count(*) AS n FROM {{documents}} WHERE strlen(text) <= 9000 UNION ALL SELECT 'sentences', count(*) FROM {{conversations}}
+        UNION ALL SELECT 'candidates', count(*) FROM ({CANDIDATES}) UNION ALL SELECT 'merged', count(*) FROM merged UNION ALL SELECT 'coded', count(*) FROM merged WHERE NOT uncoded
+        UNION ALL SELECT 'verdict ' || kind, (SELECT count(*) FROM settled WHERE classification = kind) FROM (SELECT unnest([{S.names(V.CLASSIFICATIONS)}]) AS kind)
+        UNION ALL SELECT 'proposals', count(*) FROM settled WHERE classification <> 'DUPLICATE' AND NOT (classification = 'NEW' AND (coalesce(negated, false) OR {_MED_STOP}))""",
+)
+def _(t):
+    """Seven counters (the verdicts by class) of one run, from gate to proposals; each stage is written once and counted as it is written."""
+    counters = RunCounters()
+    notes = t.documents.select(F.col("doc_id").alias("document_id"), "text")
+    counters.stage(guardrail_check(notes, max_bytes=9000).where("reject_reason IS NULL"), "accepted")
+    counters.stage(t.conversations.select("conv_id", "turn", "text"), "sentences")
+    keyed = merge.with_merge_key(counters.stage(candidate_items(t), "candidates"))
+    merged = counters.stage(merge.exact_merge(keyed, merge.merge_groups(keyed)).withColumnRenamed("merged_id", "cand_id"), "merged")
+    scored = counters.stage(reconcile_and_score(merged, chart_facts(t)), "reconciled")
+    built = assembly.reviewable(scored).withColumn("encounter_ref", F.lit(None).cast("string")).withColumn("note_date", F.lit(None).cast("string"))
+    counters.stage(built.select("cand_id", builders.resource_json().alias("resource")), "assembled")
+    return counters.rows(t.spark)
+
+
 # -- resources --------------------------------------------------------------------------------------------------------------
 
 
