@@ -651,6 +651,25 @@ def _(t):
     return quality.required_elements(rows).select(F.col("resource_id").alias("o_orderkey"), "element")
 
 
+CONTENTS = """SELECT concat('c', o_orderkey) AS resource_id, 'Condition' AS resource_type, concat('{"resourceType": "Condition"', CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN ', "category": [{"coding": [{"code": "other"}]}]'
+      WHEN 2 THEN ', "category": [{"coding": [{"code": "x"}]}, {"coding": [{"code": "y"}, {"code": "health-concern"}]}]' ELSE ', "category": [{"coding": [{"code": "problem-list-item"}]}]' END, '}') AS resource FROM {orders}
+    UNION ALL SELECT concat('p', c_custkey), 'Patient', concat('{"resourceType": "Patient", "extension": [{"url": "http://x/us-core-race"}', CASE WHEN c_custkey % 2 = 0 THEN ', {"url": "http://hl7.org/fhir/us/core/StructureDefinition/us-core-race"}' ELSE '' END,
+      CASE WHEN c_custkey % 3 = 0 THEN ', {"url": "http://hl7.org/fhir/us/core/StructureDefinition/us-core-ethnicity"}' ELSE '' END, ', {"url": "http://hl7.org/fhir/us/core/StructureDefinition/us-core-birthsex"}]}') FROM {customer}
+    UNION ALL SELECT concat('d', s_suppkey), 'DocumentReference', concat('{"resourceType": "DocumentReference", "category": [{"coding": [{"code": "', CASE WHEN s_suppkey % 2 = 0 THEN 'clinical-note' ELSE 'note' END, '"}]}], "content": [{"attachment": {"contentType": "text/plain", "url": "u"}}, {"attachment": {',
+      CASE s_suppkey % 3 WHEN 0 THEN '"contentType": "text/plain", "data": ""' WHEN 1 THEN '"data": "eA=="' ELSE '"contentType": "text/plain", "url": "u"' END, '}}]}') FROM {supplier}"""
+
+
+@query(
+    "required_content", "J11",
+    """SELECT 'c' || o_orderkey AS resource_id, 'category.coding.code' AS element, 'error' AS severity FROM {orders} WHERE o_orderkey % 4 < 2
+        UNION ALL SELECT 'p' || c_custkey, 'extension us-core-race', 'warning' FROM {customer} WHERE c_custkey % 2 <> 0 UNION ALL SELECT 'p' || c_custkey, 'extension us-core-ethnicity', 'warning' FROM {customer} WHERE c_custkey % 3 <> 0
+        UNION ALL SELECT 'd' || s_suppkey, 'category.coding.code', 'error' FROM {supplier} WHERE s_suppkey % 2 <> 0 UNION ALL SELECT 'd' || s_suppkey, 'content.attachment.data|url', 'error' FROM {supplier} WHERE s_suppkey % 3 = 0
+        UNION ALL SELECT 'd' || s_suppkey, 'content.attachment.contentType', 'error' FROM {supplier} WHERE s_suppkey % 3 = 1""",
+)
+def _(t):
+    return quality.required_content(t.sql(with_json(CONTENTS))).drop("resource_type")
+
+
 @query(
     "code_system_issues", "J12",
     """WITH c AS (SELECT DISTINCT CASE p_partkey % 4 WHEN 0 THEN 'http://snomed.info/sct/' WHEN 1 THEN 'http://LOINC.org' WHEN 2 THEN 'http://www.nlm.nih.gov/research/umls/rxnorm' ELSE 'urn:rxnorm' END AS system,

@@ -295,6 +295,42 @@ def required_elements(resources: DataFrame) -> DataFrame:
     )
 
 
+# Category codes of which a resource needs one, and extensions that are warned of where they are missing. Fixed values.
+REQUIRED_CATEGORIES = {
+    "Condition": ("problem-list-item", "health-concern", "encounter-diagnosis"),
+    "DocumentReference": ("clinical-note",),
+}
+WANTED_EXTENSIONS = {"Patient": ("us-core-race", "us-core-ethnicity", "us-core-birthsex")}
+EXTENSION_NAMESPACE = "http://hl7.org/fhir/us/core/StructureDefinition/"
+
+
+def required_content(resources: DataFrame) -> DataFrame:
+    """What must stand inside elements: ``resource_id, resource_type, element, severity``; goes with ``required_elements``.
+
+    Conditions and notes need a category of their kind, patients are warned of missing race, ethnicity and birth sex, and an attachment needs its
+    content type and its data or a URL.
+    """
+    texts = lambda path: F.regexp_extract_all(F.coalesce(F.get_json_object("resource", path), F.lit("")), F.lit(r'([^\[\]",]+)'), F.lit(1))
+    found = lambda element, severity="error": F.struct(F.lit(element).alias("element"), F.lit(severity).alias("severity"))
+    kind = F.col("resource_type")
+    checks = [
+        F.when((kind == of) & ~F.arrays_overlap(texts("$.category[*].coding[*].code"), F.array(*map(F.lit, codes))), found("category.coding.code")) for of, codes in REQUIRED_CATEGORIES.items()
+    ]
+    checks += [
+        F.when((kind == of) & ~F.array_contains(texts("$.extension[*].url"), EXTENSION_NAMESPACE + name), found(f"extension {name}", "warning"))
+        for of, names in WANTED_EXTENSIONS.items() for name in names
+    ]
+    contents = F.coalesce(
+        F.from_json(F.get_json_object("resource", "$.content"), "array<struct<attachment:struct<contentType:string,data:string,url:string>>>"),
+        F.array().cast("array<struct<attachment:struct<contentType:string,data:string,url:string>>>"),
+    )
+    blank = lambda c: F.coalesce(c, F.lit("")) == ""
+    note = kind == "DocumentReference"
+    checks.append(F.when(note & F.exists(contents, lambda c: blank(c["attachment"]["contentType"])), found("content.attachment.contentType")))
+    checks.append(F.when(note & F.exists(contents, lambda c: blank(c["attachment"]["data"]) & blank(c["attachment"]["url"])), found("content.attachment.data|url")))
+    return resources.select("resource_id", "resource_type", F.inline(F.array_compact(F.array(*checks))))
+
+
 def system_issues(codings: DataFrame) -> DataFrame:
     """Mis-spelt system URIs and RxNorm codes that are not numbers."""
     s = F.lower("system")
