@@ -321,6 +321,20 @@ def _(t):
     )
 
 
+@query("overlay_all_types", "I8 G4 H29", f"SELECT cand_id, 'http://x/extra' AS last, true AS kept, coalesce(name, substance, relationship) AS note FROM ({CANDIDATES})")
+def _(t):
+    """Resources of all types: a profile more, behind those that the builders gave, and a valued extension."""
+    url = F.array(F.lit("http://x/extra"))
+    label = T.first_text(F.col("item.name"), F.col("item.substance"), F.col("item.relationship"))
+    extensions = F.array(F.struct(F.lit("http://x/note").alias("url"), F.lit("string").alias("datatype"), label.alias("value")))
+    profiles = lambda c: F.coalesce(F.from_json(F.get_json_object(c, "$.meta.profile"), "array<string>"), F.array().cast("array<string>"))
+    rows = _resources(t).withColumn("overlaid", builders.with_extensions(builders.with_profiles(F.col("resource"), url), extensions))
+    before, after = profiles("resource"), profiles("overlaid")
+    return rows.select(
+        "cand_id", F.element_at(after, -1).alias("last"), (after == F.concat(before, url)).alias("kept"), F.get_json_object("overlaid", "$.extension[0].valueString").alias("note"),
+    )
+
+
 @query(
     "extension_values", "H44",
     """SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'valueString' WHEN 1 THEN 'valueInteger' WHEN 2 THEN 'valueQuantity' END AS key FROM {part}""",
@@ -394,15 +408,23 @@ def _(t):
     return structure.validate_r4(broken.unionByName(t.sql(with_json(_SIGNED))))
 
 
-_PIN_BAD = f"NOT uncoded AND NOT ({_CODE3} BETWEEN 1000001 AND 1000299 AND {_CODE3} % 2 = 1)"
+_PIN_BAD = f"(NOT uncoded AND (resource_type = 'Condition' OR (resource_type = 'Procedure' AND NOT ({_CODE3} BETWEEN 1000001 AND 1000299 AND {_CODE3} % 2 = 1))))"
+# Every fifth resource of all types is without its subject, and the next ones have an unknown element; some types need no subject.
+_BROKEN = f"({_K} % 5 = 1 OR ({_K} % 5 = 0 AND resource_type IN ('Condition', 'MedicationRequest', 'Procedure')))"
+
+
+def _all_broken(t):
+    without = F.regexp_replace(F.regexp_replace("resource", r'"subject":\{[^}]*\},?', ""), r",\}$", "}")
+    broken = F.when(F.expr(f"{_K} % 5 = 0"), without).when(F.expr(f"{_K} % 5 = 1"), F.concat(F.lit('{"colour":"red",'), F.substr("resource", F.lit(2)))).otherwise(F.col("resource"))
+    return _resources(t).select(F.col("cand_id").alias("id"), "cand_id", broken.alias("resource"))
 
 
 def _local(t):
-    rows = assembly.with_rules(candidate_items(t).where("resource_type = 'Procedure'"), _rules(t)).withColumn("codings", assembly.primary_codings())
-    return conformance.assess_local(_assessed(t), assembly.coding_subset_issues(rows.withColumnRenamed("cand_id", "id")))
+    rows = assembly.with_rules(candidate_items(t), _rules(t)).withColumn("codings", assembly.primary_codings())
+    return conformance.assess_local(_all_broken(t), assembly.coding_subset_issues(rows.withColumnRenamed("cand_id", "id")))
 
 
-@query("assess_local", "J3", f"SELECT cand_id AS id, {_K} % 5 >= 2 AND NOT ({_PIN_BAD}) AS valid, (({_K} % 5 < 2)::INT + ({_PIN_BAD})::INT)::BIGINT AS n_issues FROM ({CANDIDATES}) WHERE resource_type = 'Procedure'")
+@query("assess_local", "J3", f"SELECT cand_id AS id, NOT {_BROKEN} AND NOT {_PIN_BAD} AS valid, ({_BROKEN}::INT + {_PIN_BAD}::INT)::BIGINT AS n_issues FROM ({CANDIDATES})")
 def _(t):
     return _local(t).select("id", "valid", F.size("issues").cast("bigint").alias("n_issues"))
 
@@ -411,25 +433,25 @@ def _remote(t):
     issues = F.when(F.expr(f"{_K} % 7 = 0"), F.array(F.struct(F.lit("error").alias("severity"), F.lit("x").alias("path"), F.lit("remote").alias("message")))).otherwise(
         F.array().cast(f"array<{conformance.ISSUE}>")
     )
-    rows = candidate_items(t).where("resource_type = 'Procedure'").where(f"{_K} % 2 = 0")
+    rows = candidate_items(t).where(f"{_K} % 2 = 0")
     one = rows.select(F.col("cand_id").alias("id"), F.lit("profile").alias("source"), issues.alias("remote_issues"))
     two = rows.where(f"{_K} % 4 = 0").select(F.col("cand_id").alias("id"), F.lit("validator").alias("source"), F.array().cast(f"array<{conformance.ISSUE}>").alias("remote_issues"))
     return one.unionByName(two)
 
 
-_LOCAL_OK = f"({_K} % 5 >= 2 AND NOT ({_PIN_BAD}))"
+_LOCAL_OK = f"(NOT {_BROKEN} AND NOT {_PIN_BAD})"
 
 
 @query(
     "merge_remote_outcomes", "J4",
     f"""SELECT cand_id AS id, CASE WHEN {_K} % 4 = 0 THEN 'validator' WHEN {_K} % 2 = 0 THEN 'profile' ELSE 'r4' END AS level,
-        {_LOCAL_OK} AND NOT ({_K} % 2 = 0 AND {_K} % 4 <> 0 AND {_K} % 7 = 0) AS valid FROM ({CANDIDATES}) WHERE resource_type = 'Procedure'""",
+        {_LOCAL_OK} AND NOT ({_K} % 2 = 0 AND {_K} % 4 <> 0 AND {_K} % 7 = 0) AS valid FROM ({CANDIDATES})""",
 )
 def _(t):
     return conformance.merge_remote_outcomes(_local(t), _remote(t)).select("id", "level", "valid")
 
 
-@query("conformance_gate", "J5", f"SELECT cand_id AS id, 'conformance gate failed (r4)' AS reason FROM ({CANDIDATES}) WHERE resource_type = 'Procedure' AND NOT {_LOCAL_OK}")
+@query("conformance_gate", "J5", f"SELECT cand_id AS id, 'conformance gate failed (r4)' AS reason FROM ({CANDIDATES}) WHERE NOT {_LOCAL_OK}")
 def _(t):
     return conformance.conformance_gate(_local(t))[1]
 
