@@ -125,7 +125,7 @@ def _(t):
     return search.search_terminology(t.sql(ASKED), _terms(t), 99).withColumn("rank", F.col("rank").cast("bigint"))
 
 
-PINS = "SELECT CASE p_partkey % 2 WHEN 0 THEN 'icd10' ELSE 'snomed' END AS system, p_partkey AS pin_pos, concat('p', p_partkey) AS code, concat(p_name, ' ', lower(p_type)) AS display FROM {part} WHERE p_size = 50"
+PINS = "SELECT CASE p_partkey % 2 WHEN 0 THEN 'icd10' ELSE 'snomed' END AS system, p_partkey AS pin_pos, concat('p', p_partkey) AS code, concat(p_name, ' ', lower(p_type)) AS display FROM {part}"
 PINNED = f"""pins AS (SELECT *, {_TOK.format('display')} AS have FROM ({PINS})), jobs AS (SELECT *, {_TOK.format('query')} AS wanted FROM ({ASKED})),
     o AS (SELECT job_id, j.system, code, display, pin_pos, len(list_intersect(wanted, have)) AS overlap FROM jobs j JOIN pins p ON p.system = j.system),
     pr AS (SELECT *, row_number() OVER (PARTITION BY job_id, system ORDER BY overlap DESC, pin_pos) AS rank FROM o)"""
@@ -173,7 +173,7 @@ def _(t):
     return parts(t).select("p_partkey", found["code"].alias("code"), found["text"].alias("text"))
 
 
-OVERRIDES = "SELECT 'Observation' AS resource_type, p_partkey AS priority, upper(p_name) AS match, 'urn:own' AS system, concat('own-', p_partkey) AS code, p_name AS display FROM {part} WHERE p_size = 3 AND p_partkey % 2 = 0"
+OVERRIDES = "SELECT 'Observation' AS resource_type, p_partkey AS priority, upper(p_name) AS match, 'urn:own' AS system, concat('own-', p_partkey) AS code, p_name AS display FROM {part}"
 
 
 def _observations(t):
