@@ -49,6 +49,49 @@ def test_probabilities_of_a_context_sum_to_one():
         assert np.allclose(np.exp(model.logs(keys).astype(float)).sum(axis=0), 1, atol=1e-3)
 
 
+def slow_kneser_ney(counts, symbols):
+    """Interpolated Kneser-Ney by the book: probability of a tuple's last symbol after the others."""
+    levels = {4: counts}
+    for k in (3, 2, 1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+
+    def probability(gram):
+        k = len(gram)
+        if not k:
+            return 1 / (symbols + 1)
+        level = levels[k]
+        same = [n for g, n in level.items() if g[:-1] == gram[:-1]]
+        if not same:
+            return probability(gram[1:])
+        ones, twos = (sum(n == x for n in level.values()) for x in (1, 2))
+        discount = ones / (ones + 2 * twos) if ones and twos else 0.5
+        return (max(level[gram] - discount, 0) + discount * len(same) * probability(gram[1:])) / sum(same)
+
+    return probability
+
+
+def test_models_are_kneser_ney_by_the_book():
+    rng = random.Random(23)
+    texts = {"en": prose(rng, "en", 150), "fr": prose(rng, "fr", 120), "x": "zzz zz z zzzz"}
+    grams = {}
+    for name, text in texts.items():
+        line = [0, 0, 0, *language.symbols_of(language.points(text)).tolist()]
+        grams[name] = Counter(tuple(line[i : i + 4]) for i in range(len(line) - 3))
+    packed = lambda g: sum(x << (16 * (3 - k)) for k, x in enumerate(g))
+    counts = {}
+    for name, own in grams.items():
+        keys = sorted((packed(g), n) for g, n in own.items())
+        counts[name] = (np.array([k for k, _ in keys], np.uint64), np.array([n for _, n in keys], float))
+    model = language.fit(counts)
+    known = sorted({x for own in grams.values() for g in own for x in g})
+    symbols = len({g[3] for own in grams.values() for g in own})
+    asked = [g for own in grams.values() for g in own] + [tuple(rng.choice([*known, 9999]) for _ in range(4)) for _ in range(200)]
+    found = np.exp(model.logs(np.array([packed(g) for g in asked], np.uint64)).astype(float))
+    for j, name in enumerate(model.languages):
+        expected = [slow(g) for slow in [slow_kneser_ney(grams[name], symbols)] for g in asked]
+        assert np.allclose(found[:, j], expected, rtol=1e-4)
+
+
 # Line chunks
 
 
