@@ -1,18 +1,19 @@
-"""Exact removal of repeated byte strings: sampled suffixes, sorted by Spark, with results induced for the rest.
+"""Removal of repeated byte strings by content-chosen grams and hashed windows.  Not the induced sorting of suffixes.
 
-A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier.  Recursive induced sorting of every
-suffix keeps the order of a text's sampled suffixes and induces the others from it.  Here the sample is chosen by
-content: each window of ``LENGTH`` bytes is represented by the least of its 32-byte grams (leftmost of ties), about one place in
-35.  Equal windows have equal representatives at equal offsets, so:
+A byte goes if a string of ``LENGTH`` bytes that covers it also starts earlier.  No suffix is sorted here and no common prefix is
+computed: Python code cannot touch each suffix in a queue within the time allowed (see the README).  Each window of ``LENGTH`` bytes is
+represented by the least of its 32-byte grams (leftmost of ties), about one place in 35.  Equal windows have equal
+representatives at equal offsets, so:
 
 1.  Consecutive windows with one representative are a run.  Runs with equal gram and equal bytes are copies: all but the first
     go, whole.  Tasks combine copies before the shuffle, so a passage in a third of all documents leaves each task once.
-2.  Where runs with one gram differ (the edges of a repeat), the result is induced for their single windows: a window
-    goes unless it is the first with its bytes.  Only windows are asked whose side of the gram another run shares.  Windows are dealt out by their own hash, so no gram is a hot key.
+2.  Where runs with one gram differ (the edges of a repeat), their single windows are judged: a window
+    goes unless it is the first with its bytes.  Only windows are asked whose side of the gram another run shares, and they are
+    dealt out by their own hash.
 
-Sorting and dealing are Spark's, spilled to disk, and a task holds one bucket of fixed-width tuples.  Bytes
-are compared by polynomial hashes modulo 2^64 of randomly mapped bytes: runs by 48 bits each of gram and of
-bytes and offsets together, windows by 64 bits.
+A task holds one bucket of fixed-width tuples.  All different surroundings of one gram meet in one bucket, which grows with them: a
+short boilerplate of 32 to 100 bytes in very many documents is a hot bucket.  Equality rests on polynomial hashes modulo 2^64 of
+randomly mapped bytes, not on the bytes: runs by 48 bits each of gram and of bytes and offsets together, windows by 64 bits.
 """
 
 from __future__ import annotations
