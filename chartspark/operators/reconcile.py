@@ -267,6 +267,8 @@ VERDICTS: dict[str, Callable[[], Column]] = {
 LOCAL = {"spark__sql__requireAllClusterKeysForCoPartition": "false", "spark__sql__adaptive__enabled": "false"}
 #: Filters of deep plans need no restating over every alias.
 PLAIN = {"spark__sql__constraintPropagation__enabled": "false"}
+#: Fields of an item that the rules read.
+MATCHED_FIELDS = ("coding", "name", "negated", "status", "dose", "substance", "value", "performed")
 #: Chart rows and candidates of one patient that a task is trusted with.
 LARGEST_PATIENT = 500_000
 
@@ -278,19 +280,23 @@ def match_candidates(candidates: DataFrame, facts: DataFrame, largest_patient: i
         match_display, n_matches
 
     Chart and candidates are dealt out by patient once; every look-up then stays where the patient is.  Patients of more than
-    ``largest_patient`` rows are matched by the same steps, each dealt out by its own keys.  The result is stored.
+    ``largest_patient`` rows are matched by the same steps, each dealt out by its own keys.  The verdicts are stored; a ``cand_id`` is unique.
     """
     spark = candidates.sparkSession
+    # What the rules read; the wide records move once, to their verdicts.
+    slim = candidates.select("patient_id", "cand_id", "resource_type", F.struct(*(F.col(f"item.{name}").alias(name) for name in MATCHED_FIELDS)).alias("item"))
     with settings(spark, **PLAIN):
-        rows = candidates.select("patient_id").unionAll(facts.select("patient_id"))
-        large = cut_lineage(rows.groupBy("patient_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > largest_patient).select("patient_id"))
+        own, charted = dealt_by_patient(slim), dealt_by_patient(facts)
+        sizes = own.select("patient_id").unionAll(charted.select("patient_id")).groupBy("patient_id").agg(F.count(F.lit(1)).alias("n"))
+        large = cut_lineage(sizes.where(F.col("n") > largest_patient).select("patient_id"))
         some = not large.isEmpty()
-        split = lambda df, how: df.join(large, "patient_id", how) if some else df
+        rest = lambda df: dealt_by_patient(df.join(large, "patient_id", "left_anti")) if some else df
         with settings(spark, **LOCAL):
-            found = cut_lineage(_matched(dealt_by_patient(split(candidates, "left_anti")), dealt_by_patient(split(facts, "left_anti"))))
+            found = cut_lineage(_matched(rest(own), rest(charted)))
         if some:
-            found = found.unionByName(cut_lineage(_matched(cut_lineage(split(candidates, "left_semi")), cut_lineage(split(facts, "left_semi")))))
-    return found
+            hot = lambda df: cut_lineage(df.join(large, "patient_id", "left_semi"))
+            found = found.unionByName(cut_lineage(_matched(hot(own), hot(charted))))
+    return candidates.join(found.drop("patient_id"), "cand_id", "left").select(*candidates.columns, *(c for c in found.columns if c not in ("patient_id", "cand_id")))
 
 
 def dealt_by_patient(df: DataFrame) -> DataFrame:
@@ -311,7 +317,7 @@ def _matched(candidates: DataFrame, facts: DataFrame) -> DataFrame:
         joined.join(dates, key, "left")
         .join(name_hits(residue, facts), key, "left")
         .join(chart.no_known_allergy(facts), "patient_id", "left"),
-        candidates.columns,
+        key,
     )
 
 
