@@ -119,6 +119,17 @@ def test_reload_is_idempotent(spark, tmp_path):
     assert sorted((r.patient_id, r.v) for r in spark.read.parquet(path).collect()) == [("a", 9), ("b", 2)]
 
 
+def test_reload_of_a_patient_without_rows(spark, tmp_path):
+    path = str(tmp_path / "chart")
+    rows = spark.range(40).select((F.col("id") % 20).cast("string").alias("patient_id"), F.col("id").cast("int").alias("v"))
+    sinks.reload_patients(spark, rows, path, buckets=40)
+    named = spark.createDataFrame([("3",), ("7",), ("unknown",)], "patient_id string")
+    for _ in range(2):
+        sinks.reload_patients(spark, rows.where("patient_id = '3' AND v > 20"), path, patients=named)
+        kept = {(r.patient_id, r.v) for r in sinks.read_patients(spark, path).collect()}
+        assert kept == {(str(i % 20), i) for i in range(40) if i % 20 not in (3, 7)} | {("3", 23)}
+
+
 def test_reload_rewrites_what_it_touches(spark, tmp_path):
     path = tmp_path / "chart"
     rows = spark.range(4000).select((F.col("id") % 400).cast("string").alias("patient_id"), F.col("id").alias("v"))
