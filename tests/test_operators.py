@@ -167,6 +167,23 @@ def test_terms_with_one_opening_are_found_whole(spark):
     assert len(got) == len(set(got)) and set(got) == expected
 
 
+def test_rule_lane_splits_each_note_once(spark):
+    from chartspark.operators import rule_lane
+
+    splits = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<struct<number:int,start:int,end:int,text:string>>")
+    def split(text):
+        splits.add(1)
+        return [(i, 0, 0, part) for i, part in enumerate(text.split("."), 1)]
+
+    notes = spark.createDataFrame([(i, "She has asthma. No cue for asthma. Mother has asthma") for i in range(6)], "document_id long, text string").coalesce(1)
+    terms = spark.createDataFrame([(kind, "s", "c1", "Asthma") for kind in ("Condition", "FamilyMemberHistory")], "resource_type string, system string, code string, display string")
+    found = rule_lane.extract(notes.withColumn("sentences", split("text")), terms).select("document_id", "number", "resource_type").collect()
+    assert sorted(map(tuple, found)) == sorted((i, n, kind) for i in range(6) for n, kind in ((1, "Condition"), (3, "FamilyMemberHistory")))
+    assert splits.value == 6
+
+
 def test_snapshot_round_trip(spark, tmp_path):
     df = spark.range(3).select("id", F.array("id").alias("xs"))
     assert sorted(sinks.stage_snapshot(df, str(tmp_path), "s").collect()) == sorted(df.collect())
