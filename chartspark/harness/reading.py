@@ -11,6 +11,7 @@ from chartspark.harness import sqltext as S
 from chartspark.harness.registry import query
 from chartspark.harness.tables import CANDIDATES, candidate_items, chart_facts
 from chartspark.operators import citations, lanes, merge, reconcile, sentences, spans
+from chartspark.session import fixed
 from chartspark.sources import notes as N
 
 
@@ -86,7 +87,7 @@ def _(t):
 @query("span_roundtrip", "J15", "SELECT doc_id AS document_id, 0::BIGINT AS mismatches FROM {documents} WHERE length(trim(text)) > 0")
 def _(t):
     notes = _notes(t)
-    rows = sentences.sentence_rows(notes)
+    rows = fixed(sentences.sentence_rows(notes))
     wrong = sentences.span_mismatches(rows, notes).groupBy("document_id").agg(F.count(F.lit(1)).alias("n"))
     return rows.select("document_id").distinct().join(wrong, "document_id", "left").select("document_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("mismatches"))
 
