@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from chartspark.harness.registry import Tables
 from chartspark.session import fixed
 
 
@@ -11,3 +12,11 @@ def test_wide_rows_are_stored_by_column(spark):
     assert "ReadSchema: struct<id:bigint>" in plan
     bare = rows.select("id", F.lit(None).alias("nothing"))
     assert sorted(fixed(bare).collect()) == sorted(bare.collect())
+
+
+def test_adapters_and_rules_run_in_methods_that_the_jvm_compiles(spark, tmp_path):
+    assert int(spark.conf.get("spark.sql.codegen.hugeMethodLimit")) == 8_000
+    seen = []
+    tables = Tables(spark, str(tmp_path))
+    rows = tables.stored("some", lambda: seen.append(spark.conf.get("spark.sql.codegen.wholeStage")) or spark.range(3))
+    assert seen == ["false"] and spark.conf.get("spark.sql.codegen.wholeStage") == "true" and rows.count() == 3
