@@ -66,3 +66,14 @@ def test_splitter_offsets(spark):
     text += " Long line without an end, 4 mg daily.\n" * 400
     for span in sentences(spark, text)[0]:
         assert text[span["start"] : span["end"]] == span["text"]
+
+
+def test_variants_are_computed_once_and_distinct_without_case(spark):
+    terms = spark.createDataFrame([("HTN and left knee, NOS",), ("knee",), ("Severe KNEE",), ("",), (None,)], "term string")
+    found = terms.select("term", T.query_variants(F.col("term")).alias("v"))
+    rows = {r.term: r.v for r in found.collect()}
+    assert rows["knee"] == ["knee"] and rows[""] == rows[None] == []
+    assert rows["Severe KNEE"] == ["Severe KNEE", "KNEE"]
+    assert rows["HTN and left knee, NOS"] == ["HTN and left knee, NOS", "HTN and knee, NOS", "HTN and left knee", "hypertension and left knee, nos"]
+    # Within the lambda of the distinct step the rules would run again for each element.
+    assert found._jdf.queryExecution().analyzed().toString().count("nos|unspecified") == 1
