@@ -1,6 +1,8 @@
 import json
 import random
 
+from pyspark.sql import functions as F
+
 from chartspark.operators import json_tree, quality, structure
 
 TEXTS = "id long, resource string"
@@ -79,3 +81,33 @@ def test_a_bundle_is_profiled_by_its_elements(spark):
     assert (one["n_entries"], one["n_targets"], one["n_codings"], one["systems"]) == (3, 2, 2, ["s1", "s2"])
     assert [tuple(x) for x in one["types"]] == [("A", 2), ("B", 1)]
     assert (two["n_entries"], two["n_targets"], two["n_codings"], two["systems"], [tuple(x) for x in two["types"]]) == (1, 0, 0, [], [(None, 1)])
+
+
+def test_walk_goes_on_with_open_rows_alone(spark):
+    seen = []
+
+    def level(now):
+        seen.append(now)
+        return now.select("id", "depth", (F.col("depth") > len(seen)).alias("open"))
+
+    start = spark.range(5).select("id", F.col("id").alias("depth"), F.lit(True).alias("open"))
+    assert sorted(r["id"] for r in json_tree.walked(start, level).collect()) == [0, 1, 2, 3, 4]
+    # Levels run two at a time; the third reads what two levels left open, not the closed rows again.
+    assert sorted(r["id"] for r in seen[2].collect()) == [3, 4]
+
+
+def test_bundle_profile_finds_all_depths_and_no_decoys(spark):
+    rng = random.Random(5)
+    values = [any_json(rng, 6) for _ in range(60)]
+    rows = [(i % 3, i, json.dumps(v)) for i, v in enumerate(values)]
+
+    def inside(v):
+        yield v
+        for x in v.values() if isinstance(v, dict) else v if isinstance(v, list) else []:
+            yield from inside(x)
+
+    found = {r["bundle_id"]: r for r in quality.bundle_profile(spark.createDataFrame(rows, "bundle_id int, entry_pos int, resource string")).collect()}
+    for b in range(3):
+        objects = [x for v in values[b::3] for x in inside(v) if isinstance(x, dict)]
+        assert found[b]["n_targets"] == len({x["reference"] for x in objects if isinstance(x.get("reference"), str)})
+        assert found[b]["n_codings"] == len([x for x in objects if "system" in x and "code" in x])
