@@ -170,8 +170,9 @@ def _(t):
 )
 def _(t):
     keyed = merge.with_merge_key(candidate_items(t))
-    merged = merge.exact_merge(keyed, merge.merge_groups(keyed))
-    refs = merge.merge_refs(keyed, merge.merge_groups(keyed))
+    groups = fixed(merge.merge_groups(keyed))
+    merged = merge.exact_merge(keyed, groups)
+    refs = merge.merge_refs(keyed, groups)
     collapsed, _ = merge.collapse_multifocal(merged, refs)
     foci = F.regexp_extract("merge_reasoning", r"multifocal: merged (\d+)", 1).try_cast("bigint")
     return collapsed.where("resource_type = 'Condition' AND NOT item.negated").select(

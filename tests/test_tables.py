@@ -24,3 +24,22 @@ def test_a_query_of_one_pass_stores_nothing_and_reads_what_it_names(spark):
     assert set(_STORED) == before
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "p_partkey" in plan and "p_name" not in plan and "p_type" not in plan
+
+
+def test_collapses_pass_over_merged_candidates_once(spark, tmp_path):
+    from chartspark.harness.merging import _marker_items
+    from chartspark.operators import merge
+
+    merged, refs = _marker_items(Tables(spark, SMALL))
+    merged.write.parquet(f"{tmp_path}/merged")
+    refs.write.parquet(f"{tmp_path}/refs")
+    merged, refs = spark.read.parquet(f"{tmp_path}/merged"), spark.read.parquet(f"{tmp_path}/refs")
+    for collapse in (merge.collapse_markers, merge.collapse_multifocal):
+        collapsed, moved = collapse(merged, refs)
+        leaves = [x for x in collapsed._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Relation [" in x]
+        assert sum("encounter_key" in x for x in leaves) == 1
+        assert sum("document_id" in x for x in leaves) == 1
+        # Every note of a reference stays with the row that it moved to.
+        ids = {r["merged_id"] for r in collapsed.select("merged_id").collect()}
+        assert {r["merged_id"] for r in moved.select("merged_id").collect()} == ids
+        assert moved.select("document_id").distinct().count() == refs.select("document_id").distinct().count()
