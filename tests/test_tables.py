@@ -43,3 +43,20 @@ def test_collapses_pass_over_merged_candidates_once(spark, tmp_path):
         ids = {r["merged_id"] for r in collapsed.select("merged_id").collect()}
         assert {r["merged_id"] for r in moved.select("merged_id").collect()} == ids
         assert moved.select("document_id").distinct().count() == refs.select("document_id").distinct().count()
+
+
+def test_assess_local_reads_the_elements_of_a_resource_once(spark):
+    from chartspark.operators import conformance
+
+    texts = ['{"resourceType":"Condition","meta":{"profile":["http://x/p"]},"category":"c","odd":1}', '{"resourceType":"Observation"}', "[1]", "{", None]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, resource string")
+    found = conformance.assess_local(rows)
+    assert found.columns == ["id", "resource", "issues", "valid", "level", "supported"]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("$.resourceType)") == 1 and plan.count("AS _keys") == 1
+    alone = rows.withColumn("alone", conformance.structure_issues(rows["resource"]))
+    together = {r["id"]: r["issues"] for r in found.collect()}
+    for r in alone.collect():
+        notes = [i for i in together[r["id"]] if i["severity"] == "information"]
+        assert [i for i in together[r["id"]] if i["severity"] != "information"] == r["alone"]
+        assert len(notes) == (r["id"] == 0)
