@@ -11,6 +11,9 @@ letter whose node is a word makes two neighbours; they are compared as strings,
 An edit lies in the second half of the word, or it does so when all words are spelt backwards: with a trie for either
 direction no state starts near a root, where edges are dense and every word meets.  Edits and first letters are joined
 as rows of fixed width; the strings join those states only that survive.
+
+All joins are of tables that grow with the vocabulary, and Spark sizes them by the packed files below them, without the rows that an explode
+adds; they are told to sort and merge, so that none is gathered on the driver on such a guess.
 """
 
 from __future__ import annotations
@@ -32,6 +35,8 @@ LEAST_COUNT = 3
 #: A form counts at least so many times its variant.
 RATIO = 2
 WORDS_AT_ONCE = 500_000
+#: The hint of every join (see above); unlike a setting it also holds for what the caller plans later.
+MERGED = "merge"
 RUN = re.compile(f"[{LETTERS}]+")
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
@@ -119,18 +124,18 @@ def neighbours(words: DataFrame) -> DataFrame:
     half = F.floor((F.col("size") + side) / 2)
     starts = placed.where(at >= half)
     own = starts.select("id", "side", "at", _node(side, _head(at)).alias("node"), _letter(at).alias("own"))
-    replaced = own.join(fans, "node").select("id", "side", "at", F.explode(F.filter("letters", lambda x: x > F.col("own"))).alias("letter"))
+    replaced = own.join(fans.hint(MERGED), "node").select("id", "side", "at", F.explode(F.filter("letters", lambda x: x > F.col("own"))).alias("letter"))
     # Of equal letters in a row the last one goes; the word's end needs no edge.
     last = at + 1 == F.col("size")
     dropped = starts.where(last | (_letter(at) != _letter(at + 1)))
     ends = dropped.where(last).select("id", "side", "at")
     inner = dropped.where(~last).select("id", "side", "at", _node(side, F.concat(_head(at), _letter(at + 1))).alias("node"))
-    inner = inner.join(nodes, "node", "left_semi").select("id", "side", "at")
+    inner = inner.join(nodes.hint(MERGED), "node", "left_semi").select("id", "side", "at")
     edited = replaced.unionByName(inner.union(ends).withColumn("letter", F.lit("")))
     named = words.select("word", "n", F.xxhash64("word").alias("id"))
     s = F.when(side == 0, F.col("word")).otherwise(F.reverse("word"))
     spelt = F.concat(s.substr(F.lit(1), at), F.col("letter"), s.substr(at + 2, F.length("word")))
-    states = edited.join(named, "id").select("side", "word", "n", spelt.alias("path"), (at + 1).alias("position"))
+    states = edited.join(named.hint(MERGED), "id").select("side", "word", "n", spelt.alias("path"), (at + 1).alias("position"))
     done, stride = None, 1
     states = stored(states, "frontier")
     while True:
@@ -141,10 +146,10 @@ def neighbours(words: DataFrame) -> DataFrame:
         if further.isEmpty():
             break
         followed = further.withColumn("node", _node(side, F.col("path").substr(F.lit(1), F.col("position"))))
-        states = stored(followed.join(nodes, "node", "left_semi").drop("node"), "frontier")
+        states = stored(followed.join(nodes.hint(MERGED), "node", "left_semi").drop("node"), "frontier")
         stride *= 2
     # Strings decide; a word that shares the hash of another may have lent it a state, so pairs are made distinct.
-    found = stored(done.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")), "near").where("word <> near"), "pairs")
+    found = stored(done.join(words.select(F.col("word").alias("near"), F.col("n").alias("near_n")).hint(MERGED), "near").where("word <> near"), "pairs")
     turned = found.select(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n"))
     return found.select(turned.columns).union(turned).distinct()
 
@@ -159,21 +164,21 @@ def forms(words: DataFrame, ratio: int = RATIO) -> DataFrame:
     better = F.when(F.col("near_n") >= F.col("n") * ratio, F.struct((-F.col("near_n")).alias("less"), F.col("near").alias("form")))
     best = pairs.groupBy("word").agg(F.count("*").alias("n_near"), F.min(better).alias("best"))
     w, b = words.alias("w"), best.alias("b")
-    named = w.join(b, F.col("w.word") == F.col("b.word"), "left").select(
+    named = w.join(b.hint(MERGED), F.col("w.word") == F.col("b.word"), "left").select(
         "w.word", "w.n", F.col("b.best.form").alias("form"), F.coalesce("b.n_near", F.lit(0)).cast("long").alias("n_near"), (-F.col("b.best.less")).alias("form_n")
     )
     named = stored(named, "forms")
     pointers = named.where("form IS NOT NULL").select("word", F.col("form").alias("root"))
     while True:
         p, q = pointers.alias("p"), pointers.alias("q")
-        jumped = p.join(q, F.col("p.root") == F.col("q.word"), "left")
+        jumped = p.join(q.hint(MERGED), F.col("p.root") == F.col("q.word"), "left")
         pointers = stored(jumped.select("p.word", F.coalesce("q.root", "p.root").alias("root"), F.col("q.root").isNotNull().alias("moved")), "roots")
         more = not pointers.where("moved").isEmpty()
         pointers = pointers.drop("moved")
         if not more:
             break
     n, r = named.alias("n"), pointers.alias("r")
-    return n.join(r, F.col("n.word") == F.col("r.word"), "left").select("n.*", F.coalesce("r.root", "n.word").alias("root"))
+    return n.join(r.hint(MERGED), F.col("n.word") == F.col("r.word"), "left").select("n.*", F.coalesce("r.root", "n.word").alias("root"))
 
 
 def variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_letters: int = LEAST_LETTERS, least_count: int = LEAST_COUNT, ratio: int = RATIO, damage: bool = False) -> DataFrame:

@@ -82,3 +82,18 @@ def test_edge_tables(spark, doc_rows, docs, no_docs):
     assert spelling.variants(no_docs).count() == 0
     one = spark.createDataFrame([(1, "hello hello hello", "x", "y", 1)], SCHEMA)
     assert [tuple(r) for r in spelling.variants(one).collect()] == [("hello", 3, None, 0, None, "hello")]
+
+
+def test_no_join_gathers_a_side_on_the_driver(spark, monkeypatch):
+    """The size that Spark takes a table for says little after an explode or packing, so tables this small would all be broadcast."""
+    plans, stored = [], spelling.stored
+
+    def watched(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return stored(df, name)
+
+    monkeypatch.setattr(spelling, "stored", watched)
+    words = [("abcdefgh"[:k] + "z" * (8 - k), 3 + k) for k in range(9)] + [("abcde", 3), ("abcdf", 9)]
+    result = spelling.forms(spark.createDataFrame(words, "word string, n long"))
+    plans.append(result._jdf.queryExecution().executedPlan().toString())
+    assert sum("Join" in p for p in plans) > 4 and not any("Broadcast" in p for p in plans)
