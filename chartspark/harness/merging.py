@@ -515,7 +515,8 @@ MERGED_EVIDENCE = EVIDENCE.replace("FROM (" + CANDIDATES + "))", "FROM merged)",
 def _(t):
     items = candidate_items(t)
     keyed = merge.with_merge_key(items)
-    merged = fixed(merge.exact_merge(keyed, merge.merge_groups(keyed)).withColumnRenamed("merged_id", "cand_id"))
+    groups = fixed(merge.merge_groups(keyed))
+    merged = fixed(merge.exact_merge(keyed, groups).withColumnRenamed("merged_id", "cand_id"))
     scored = augmentation.reconcile_and_score(merged, chart_facts(t))
     segments = t.customer.select(F.col("c_custkey").cast("string").alias("patient_id"), F.col("c_mktsegment").alias("segment"))
     return (
